@@ -102,6 +102,7 @@ class Physics:
     mixing_height_m: float = 1500.0
     edge_sigmas: float = 4.0          # the plume ends where the crosswind offset passes this many sigma_y
     bearing_bin_deg: int = 10         # width of the equi-join bins over plume direction
+    nearest_m: float = 100.0          # the curves do not hold closer to the source
     arrival_floor: float = 1e-3       # kBq/m2 in one hour
     sectors: int = 16
     nuclides: tuple[Nuclide, ...] = NUCLIDES

@@ -42,6 +42,25 @@ def sigma_z(stability: Column, x: Column, cap: float) -> Column:
     return F.least(_by_class(stability, curve), F.lit(float(cap)))
 
 
+def curve_columns(stability: Column) -> dict[str, Column]:
+    """The class's curve constants as columns, so that a large join compares no strings per row."""
+    return {
+        "ay": _by_class(stability, lambda c: F.lit(SIGMA_Y[c])),
+        "az": _by_class(stability, lambda c: F.lit(SIGMA_Z[c][0])),
+        "fz": _by_class(stability, lambda c: F.lit(SIGMA_Z[c][1])),
+        "z_linear": _by_class(stability, lambda c: F.lit(SIGMA_Z[c][2] == -1.0)),
+    }
+
+
+def sigma_y_of(ay: Column, x: Column) -> Column:
+    return ay * x / F.sqrt(F.lit(1.0) + F.lit(0.0001) * x)
+
+
+def sigma_z_of(az: Column, fz: Column, z_linear: Column, x: Column, cap: float) -> Column:
+    base = F.lit(1.0) + fz * x
+    return F.least(az * x / F.when(z_linear, base).otherwise(F.sqrt(base)), F.lit(float(cap)))
+
+
 def widest_half_angle_deg(edge_sigmas: float) -> float:
     """Largest angle between plume axis and a point inside the plume edge, over all classes."""
     return math.degrees(math.atan(edge_sigmas * max(SIGMA_Y.values())))

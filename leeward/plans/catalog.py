@@ -45,3 +45,8 @@ def all_queries() -> dict[str, Query]:
 def q6(expression: str) -> str:
     """SQL text of the six-digit quantization that ``functions.numeric.quantize`` does."""
     return f"floor(({expression}) * 1000000 + 0.5) / 1000000"
+
+
+def q3(expression: str) -> str:
+    """Three digits, for deposits: engines differ in the last bits of sines and exponentials."""
+    return f"floor(({expression}) * 1000 + 0.5) / 1000"

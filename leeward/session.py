@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "leeward
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
