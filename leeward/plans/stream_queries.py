@@ -1 +1,152 @@
-"""Named queries."""
+"""Named queries that land the derived inputs as files and run the streaming forms over them.
+
+Inputs land in slices of time and each slice is processed before the next one lands, as a
+bounded run of the stream would meet them. State carries over from run to run.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from leeward import schemas
+from leeward.config import Limits
+from leeward.functions.numeric import epoch_s, quantize
+from leeward.plans.catalog import q6, query
+from leeward.plans.registry_queries import VERSIONS
+from leeward.plans.sensor_queries import LIMITS, STEPS
+from leeward.session import fresh_path, make_folder, staged
+from leeward.sources.fixtures import ORIGIN_S, Tables, with_views
+from leeward.streaming import ingest, state
+
+SENT = StructType([StructField("event_id", LongType()), StructField("cell_id", LongType()),
+                   StructField("ingestion_path", StringType()), *schemas.READING.fields])
+SENT_V2 = StructType([*SENT.fields, StructField("detector_temp_c", DoubleType())])
+SLICES = 3
+
+
+def landing_root(spark, name: str) -> str:
+    root = fresh_path(spark, name)
+    make_folder(spark, f"{root}/landing")
+    return root
+
+
+def in_slices(rows: DataFrame, position: Column, folder: str, run: Callable[[], object]) -> None:
+    """Land ``rows`` in slices by ``position`` (seconds), calling ``run`` after each."""
+    bounds = rows.agg(F.min(position).alias("a"), F.max(position).alias("b")).first()
+    step = (bounds["b"] - bounds["a"]) // SLICES + 1
+    for i in range(SLICES):
+        low = bounds["a"] + i * step
+        rows.filter((position >= low) & (position < low + step)).write.mode("append").json(folder)
+        run()
+
+
+def routed_table(t: Tables) -> DataFrame:
+    spark = t.spark
+    root = landing_root(spark, "stream")
+    stream = ingest.routed(ingest.stream_readings(spark, f"{root}/landing", SENT, None), LIMITS)
+    columns = [c for c in stream.columns if c not in ("is_late",)]
+    writer = ingest.write_routed(stream.select(*columns), f"{root}/routed", f"{root}/checkpoint")
+    in_slices(t.readings(), epoch_s(F.col("sent_at")), f"{root}/landing", lambda: ingest.run_available(writer))
+    return spark.read.parquet(f"{root}/routed")
+
+
+@query(with_views("v_readings", """select device_id, event_id, ingestion_path, event_s, sent_s, case when reasons = '' then 'clean' else 'refused' end as route from once
+    union all select device_id, event_id, ingestion_path, event_s, sent_s, 'late' from routed where route = 'late'""", STEPS))
+def stream_late_split(t: Tables) -> DataFrame:
+    return routed_table(t).select("device_id", "event_id", "ingestion_path", epoch_s(F.col("event_time")).alias("event_s"),
+                                  epoch_s(F.col("sent_at")).alias("sent_s"), "route")
+
+
+@query(with_views("v_readings", f"""select device_id, count(*) as n_clean, count(distinct event_s) as n_times, {q6('sum(dose_rate_usv_h)')} as total_dose
+    from once where reasons = '' group by 1""", STEPS))
+def stream_dedup(t: Tables) -> DataFrame:
+    clean = routed_table(t).filter("route = 'clean'")
+    return clean.groupBy("device_id").agg(F.count(F.lit(1)).alias("n_clean"), F.count_distinct("event_time").alias("n_times"),
+                                          quantize(F.sum("dose_rate_usv_h")).alias("total_dose"))
+
+
+@query(with_views("v_readings", f"""select device_id, count(*) as n_readings, count(detector_temp_c) as n_with_temp,
+    {q6('sum(detector_temp_c)')} as total_temp, cast(sum(case when detector_temp_c is null then 0 else 1 end) as bigint) as n_grown from v_readings group by 1"""))
+def schema_evolution(t: Tables) -> DataFrame:
+    """Readings land as text; the field of newer firmware is read from the same stream."""
+    spark = t.spark
+    root = landing_root(spark, "evolving")
+    old = SENT     # what the table knew before; the new field stays in the payload
+    landed = ingest.evolve(ingest.stream_lines(spark, f"{root}/landing"), old)
+    with_new = landed.withColumn("detector_temp_c", F.try_variant_get("payload", "$.detector_temp_c", "double"))
+    grown = with_new.withColumn("fields", F.schema_of_variant("payload")).drop("payload")
+    writer = ingest.write_bronze(grown, f"{root}/bronze", f"{root}/checkpoint")
+    in_slices(t.readings(), epoch_s(F.col("sent_at")), f"{root}/landing", lambda: ingest.run_available(writer))
+    bronze = spark.read.parquet(f"{root}/bronze")
+    return bronze.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n_readings"), F.count("detector_temp_c").alias("n_with_temp"),
+        quantize(F.sum("detector_temp_c")).alias("total_temp"),
+        F.count_if(F.contains("fields", F.lit("detector_temp_c"))).alias("n_grown"))
+
+
+@query(with_views("v_device_cdc", "select device_id, start_seq, end_seq, firmware, jurisdiction_code from versions", VERSIONS))
+def stream_scd2(t: Tables) -> DataFrame:
+    """The change feed lands in an order unrelated to its sequence; the versions come out the same."""
+    spark = t.spark
+    root = landing_root(spark, "registry")
+    feed = t.device_cdc()
+    write, table = state.registry_writer(spark, root)
+    stream = spark.readStream.schema(feed.schema).json(f"{root}/landing")
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
+    arrival = F.pmod(F.col("seq") * 7919, F.lit(1000))
+    in_slices(feed, arrival, f"{root}/landing", lambda: ingest.run_available(writer))
+    return table.read().select("device_id", "start_seq", "end_seq", "firmware", "jurisdiction_code")
+
+
+HEALTH_STEPS = STEPS | {
+    "outcomes": "select device_id, event_s, ingestion_path, reasons <> '' or cell_id = 3 and (event_s - 1300060800) // 60 between 90 and 120 as bad from once",
+    "turns": """select *, case when bad = lag(bad) over (partition by device_id order by event_s, ingestion_path)
+        then 0 else 1 end as turn from outcomes""",
+    "series": "select *, sum(turn) over (partition by device_id order by event_s, ingestion_path) as series_no from turns",
+    "counted": """select *, row_number() over (partition by device_id, series_no order by event_s, ingestion_path) as n from series""",
+    "asked": """select device_id, event_s as at_s, ingestion_path, case when bad then 'quarantined' else 'healthy' end as state
+        from counted where (bad and n = 3) or (not bad and n = 5)""",
+    "changes": """select * from (select *, lag(state, 1, 'healthy') over (partition by device_id
+        order by at_s, ingestion_path) as before from asked) where state <> before"""}
+
+
+@query(with_views("v_readings", """select d.device_id, coalesce(c.state, 'healthy') as state, c.since_s, d.last_s, d.run_n from
+    (select device_id, max(event_s) as last_s, arg_max(n, event_s) as run_n from counted group by 1) d left join
+    (select device_id, arg_max(state, at_s) as state, max(at_s) as since_s from changes group by 1) c on c.device_id = d.device_id""", HEALTH_STEPS))
+def stream_health(t: Tables) -> DataFrame:
+    """Readings judged by the hard rules, and one cell's devices bad for half an hour, in order of event time."""
+    from leeward.plans.monitoring import split_readings
+    spark = t.spark
+    root = landing_root(spark, "health")
+    parts = split_readings(t.readings(), LIMITS)
+    rows = parts.clean.select("device_id", "cell_id", "event_time", "ingestion_path", F.lit(False).alias("refused")).unionByName(
+        parts.refused.select("device_id", "cell_id", "event_time", "ingestion_path", F.lit(True).alias("refused")))
+    minute = F.floor((epoch_s(F.col("event_time")) - F.lit(ORIGIN_S)) / 60)
+    rows = rows.withColumn("bad", F.col("refused") | ((F.col("cell_id") == 3) & minute.between(90, 120)))
+    rows = staged(rows.select("device_id", "event_time", "ingestion_path", "bad"), "outcomes")
+    write, table = state.health_writer(spark, root, LIMITS)
+    stream = spark.readStream.schema(rows.schema).json(f"{root}/landing")
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
+    in_slices(rows, epoch_s(F.col("event_time")), f"{root}/landing", lambda: ingest.run_available(writer))
+    return table.read().select("device_id", "state", "since_s", "last_s", "run_n")
+
+
+@query(with_views("v_readings", f"""select event_s // 3600 * 3600 as window_s, count(*) as n_readings, count(*) filter (route = 'on_time' and reasons = '') as n_clean,
+    {q6("cast(count(*) filter (route = 'on_time' and reasons = '') as double) / count(*)")} as clean_share from routed
+    group by 1 having event_s // 3600 * 3600 + 3600 <= (select max(event_s) from routed) - 1800""", STEPS))
+def stream_clean_share(t: Tables) -> DataFrame:
+    spark = t.spark
+    root = landing_root(spark, "share")
+    from leeward.operators.late import with_route
+    from leeward.operators.rules import apply_rules, reading_rules
+    df = apply_rules(with_route(ingest.stream_readings(spark, f"{root}/landing", SENT, None), LIMITS.max_lag_minutes),
+                     reading_rules(Limits()))
+    df = df.withColumn("route", F.when((F.col("route") == "on_time") & (F.size("reasons") == 0), "clean").otherwise("other"))
+    shares = ingest.clean_share_stream(df, 60, 30)
+    writer = ingest.write_bronze(shares, f"{root}/shares", f"{root}/checkpoint")
+    in_slices(t.readings(), epoch_s(F.col("sent_at")), f"{root}/landing", lambda: ingest.run_available(writer))
+    out = spark.read.schema(shares.schema).parquet(f"{root}/shares")
+    return out.withColumn("clean_share", quantize(F.col("clean_share")))

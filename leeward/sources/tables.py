@@ -58,9 +58,15 @@ class VersionedTable:
             raise FileNotFoundError(f"no version of {self.path}")
         return self.spark.read.parquet(self.folder(found[-1] if version is None else version))
 
-    def overwrite(self, df: DataFrame) -> int:
+    def before(self, version: int) -> DataFrame | None:
+        """The newest version older than ``version``, if any."""
+        older = [v for v in self.versions() if v < version]
+        return self.read(older[-1]) if older else None
+
+    def overwrite(self, df: DataFrame, version: int | None = None) -> int:
+        """Write a new version. With a given number (a batch id), a repeated write replaces itself."""
         found = self.versions()
-        version = (found[-1] if found else 0) + 1
+        version = version if version is not None else (found[-1] if found else 0) + 1
         df.write.mode("overwrite").parquet(self.folder(version))
         hadoop, _, fs = self._fs()
         for old in found[: max(0, len(found) + 1 - self.keep)]:
