@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from leeward.functions.numeric import epoch_s, holds, lag_minutes
-from leeward.operators.slices import with_previous
+from leeward.operators.slices import runs, with_previous
 
 
 def with_lag(df: DataFrame, max_minutes: float = 15.0) -> DataFrame:
@@ -54,12 +54,10 @@ def dedup_paths(df: DataFrame, tolerance_s: int = 5, slice_seconds: int = 6 * 36
     Readings of a device whose event times follow each other within ``tolerance_s`` form a
     group. Expects ``lag_minutes``. The earliest ``event_time`` of the group is kept as ``group_s``.
     """
-    from leeward.operators.slices import runs
     df = df.withColumn("__t", epoch_s(F.col("event_time")))
     order = [F.col("__t"), F.col("ingestion_path"), F.col("lag_minutes")]
-    df = with_previous(df, ["device_id"], order, {"__before": F.col("__t")}, slice_seconds)
-    df = df.withColumn("__starts", holds(F.col("__t") - F.col("__before") > tolerance_s) | F.col("__before").isNull())
-    df = runs(df, ["device_id"], order, F.col("__starts"), slice_seconds)
+    df = runs(df, ["device_id"], order, {"t": F.col("__t")},
+              lambda before, now: now["t"] - before["t"] > tolerance_s, slice_seconds)
     rest = [c for c in df.columns if not c.startswith("__") and c not in
             ("device_id", "lag_minutes", "ingestion_path", "run_start", "run_len")]
     best = df.groupBy("device_id", F.col("run_start").alias("group_s")).agg(

@@ -33,12 +33,12 @@ def neighbour_pairs(points: DataFrame, radius_km: float = 5.0) -> DataFrame:
     return near.select("point", "near")
 
 
-def per_minute(df: DataFrame, value: str) -> DataFrame:
-    """One value per device and minute: the last one of the minute."""
+def per_minute(df: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One value per device and minute: the last one of the minute. ``keep`` is constant per device."""
     last = F.max(F.struct(epoch_s(F.col("event_time")).alias("s"), F.col(value).alias("v")))
     return (df.filter(F.col(value).isNotNull())
-            .groupBy("device_id", F.floor(epoch_s(F.col("event_time")) / 60).cast("long").alias("minute"))
-            .agg(last.alias("last")).select("device_id", "minute", F.col("last.v").alias("value")))
+            .groupBy("device_id", *keep, F.floor(epoch_s(F.col("event_time")) / 60).cast("long").alias("minute"))
+            .agg(last.alias("last")).select("device_id", *keep, "minute", F.col("last.v").alias("value")))
 
 
 def _decision(n: Column, n_above: Column, below: Column, above: Column, threshold: float) -> Column:
@@ -47,7 +47,7 @@ def _decision(n: Column, n_above: Column, below: Column, above: Column, threshol
     return (n > 0) & ((n_above * 2 > n) | ((n_above * 2 == n) & middle))
 
 
-def confirmed_by_neighbours(minute_values: DataFrame, candidates: DataFrame, points: DataFrame,
+def confirmed_by_neighbours(readings: DataFrame, value: str, candidates: DataFrame, points: DataFrame,
                             pairs: DataFrame, threshold: float) -> DataFrame:
     """(device_id, minute, confirmed) for the candidate device-minutes.
 
@@ -56,19 +56,21 @@ def confirmed_by_neighbours(minute_values: DataFrame, candidates: DataFrame, poi
     each side that are nearest to the threshold, decide it exactly and merge freely.
     """
     at = points.select("device_id", "point")
-    placed = minute_values.join(at, "device_id").withColumn("above", F.col("value") > threshold)
-    counts = placed.groupBy("point", "minute").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("above").alias("n_above"))
+    asked = candidates.join(at, "device_id").join(pairs, "point")
+    wanted = asked.select(F.col("near").alias("point"), "minute").distinct()
+    nearby = (readings.withColumn("minute", F.floor(epoch_s(F.col("event_time")) / 60).cast("long"))
+              .join(at, "device_id").join(wanted, ["point", "minute"], "left_semi"))
+    placed = per_minute(nearby, value, ("point",)).withColumn("above", F.col("value") > threshold)
     nearest = Window.partitionBy("point", "minute", "above").orderBy(
         F.abs(F.col("value") - F.lit(threshold)), "device_id")
     closest = (placed.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= 2)
                .groupBy("point", "minute")
                .agg(F.collect_list(F.struct("above", "value", "device_id")).alias("closest")))
+    counts = placed.groupBy("point", "minute").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("above").alias("n_above"))
     summary = counts.join(closest, ["point", "minute"]).withColumnRenamed("point", "near")
-
-    own = (candidates.select("device_id", "minute").distinct().join(at, "device_id")
-           .join(minute_values, ["device_id", "minute"]))
-    seen = own.join(pairs, "point").join(summary, ["near", "minute"])
+    own = placed.select("device_id", "minute", F.col("above").alias("own_above"))
+    seen = asked.join(own, ["device_id", "minute"]).join(summary, ["near", "minute"])
 
     def others(side: bool):
         return F.transform(F.filter("closest", lambda c: (c["device_id"] != F.col("device_id")) & (c["above"] == side)),
@@ -76,7 +78,7 @@ def confirmed_by_neighbours(minute_values: DataFrame, candidates: DataFrame, poi
 
     merged = seen.groupBy("device_id", "minute").agg(
         (F.sum("n") - 1).alias("n"),
-        (F.sum("n_above") - F.max(F.when(F.col("value") > threshold, 1).otherwise(0))).alias("n_above"),
+        (F.sum("n_above") - F.max(F.when(F.col("own_above"), 1).otherwise(0))).alias("n_above"),
         F.max(F.array_max(others(False))).alias("below"),
         F.min(F.array_min(others(True))).alias("above"))
     return merged.select("device_id", "minute", _decision(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from leeward.config import Limits
 from leeward.functions.numeric import epoch_s, holds
 from leeward.operators.neighbours import confirmed_by_neighbours, neighbour_pairs, per_minute, station_points
-from leeward.operators.slices import runs_of_value, trailing, with_previous
+from leeward.operators.slices import SLICE, carry_runs, runs_of_value, slice_no, trailing, with_previous
 
 EVENT_S = epoch_s(F.col("event_time"))
 ORDER = [EVENT_S, F.col("ingestion_path")]
@@ -70,26 +70,68 @@ def warmup(df: DataFrame, minutes: int = 10) -> DataFrame:
             .withColumn("is_warmup", EVENT_S - F.col("first_s") < minutes * 60))
 
 
-def quality_status(clean: DataFrame, devices: DataFrame, band: DataFrame, origin_s: int = 0,
-                   limits: Limits = Limits()) -> DataFrame:
-    """``quality_status`` in clean, drift_suspect, frozen, warmup.
+def mark_history(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The trailing residual and the marks of equal-value runs, in one shuffle and one sort.
 
-    A raised residual that the neighbours share is a real signal over an area (``plume_signal``);
-    one they do not share is drift. Only device-minutes with a raised residual are compared.
+    Needs ``residual``. What a run inherits from the slice before it is added by ``resolve_runs``,
+    which reads this frame twice: hand it a written table.
     """
-    df = with_residual(with_model_band(clean, band, origin_s), limits.background_usv_h)
-    df = frozen_run(df, limits)
-    df = residual_mean(df, limits)
-    return classify(df, devices, limits)
-
+    width, reach = limits.slice_seconds, limits.drift_window_minutes * 60
+    own = slice_no(EVENT_S, width)
+    df = df.withColumn("__sec", EVENT_S).withColumn("__home_slice", own)
+    df = df.withColumn(SLICE, F.explode(F.sequence(own, slice_no(F.col("__sec") + F.lit(reach), width))))
+    df = df.withColumn("__home", F.col(SLICE) == F.col("__home_slice"))
+    w = Window.partitionBy("device_id", SLICE).orderBy("__sec", "ingestion_path")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = Window.partitionBy("device_id", SLICE).orderBy("__sec").rangeBetween(-reach, 0)
+    dose = F.col("dose_rate_usv_h")
+    df = df.withColumns({"__first": F.row_number().over(w) == 1, "__before": F.lag(dose).over(w),
+                         "__rn": F.count_if("__home").over(upto)})
+    df = df.withColumn("__open", F.when(~F.col("__first"), F.coalesce(F.col("__before") != dose, F.lit(True))))
+    df = df.withColumns({"__open_rn": F.max(F.when(F.col("__home") & F.col("__open"), F.col("__rn"))).over(upto),
+                         "residual_30m": F.avg("residual").over(frame)})
+    return df.filter("__home").drop("__home", "__home_slice", "__first", "__before")
+
+
+def resolve_runs(marked: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``run_len`` and ``is_frozen`` from the marks."""
+    keys = ["device_id"]
+    ends = F.struct("__sec", "ingestion_path", "dose_rate_usv_h", "__open")
+    per_slice = marked.groupBy(*keys, SLICE).agg(
+        F.count(F.lit(1)).alias("n"), F.max("__open_rn").alias("last_rn"),
+        F.min(ends).alias("head"), F.max(ends).alias("tail"))
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    same = F.col("tail_before.dose_rate_usv_h") == F.col("head.dose_rate_usv_h")
+    # the first row of a slice knows whether it opens a run if a row of the last minutes stood before it
+    linked = F.when(F.col("head.__open").isNotNull(), ~F.col("head.__open")).otherwise(F.coalesce(same, F.lit(False)))
+    per_slice = per_slice.withColumn("tail_before", F.lag("tail").over(by_slice)).withColumn("linked", linked)
+    per_slice = per_slice.withColumn("last_pos", F.lit(None).cast("long")).withColumn("head_pos", F.col("head.__sec"))
+    out = marked.join(carry_runs(per_slice, keys).drop("__pos_in"), [*keys, SLICE], "left")
+    run_len = F.when(F.col("__open_rn").isNull(), F.col("__rn") + F.col("__len_in")).otherwise(
+        F.col("__rn") - F.col("__open_rn") + 1).cast("long")
+    return (out.withColumn("run_len", run_len).withColumn("is_frozen", F.col("run_len") >= limits.frozen_repeats)
+            .drop(SLICE, "__sec", "__open", "__open_rn", "__rn", "__len_in"))
+
+
+def history(clean: DataFrame, band: DataFrame, origin_s: int = 0, limits: Limits = Limits()) -> DataFrame:
+    """Clean readings with band, residual and history marks: the frame to write before judging."""
+    return mark_history(with_residual(with_model_band(clean, band, origin_s), limits.background_usv_h), limits)
+
+
+def quality_status(marked: DataFrame, devices: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``quality_status`` in clean, drift_suspect, frozen, warmup, from a written ``history``.
 
-def classify(df: DataFrame, devices: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The status from a frame that already has residual_30m and is_frozen."""
-    df = warmup(df, limits.warmup_minutes).withColumn("minute", F.floor(EVENT_S / 60).cast("long"))
-    raised = df.filter(F.col("residual_30m") > limits.drift_threshold)
+    A raised residual that the neighbours share is a real signal over an area (``plume_signal``);
+    one they do not share is drift. Only device-minutes with a raised residual are compared, and
+    only readings of their neighbours in those minutes take part.
+    """
+    minute = F.floor(EVENT_S / 60).cast("long")
+    raised = (marked.filter(F.col("residual_30m") > limits.drift_threshold)
+              .select("device_id", minute.alias("minute")).distinct())
     points = station_points(devices)
-    confirmed = confirmed_by_neighbours(per_minute(df, "residual_30m"), raised, points,
+    confirmed = confirmed_by_neighbours(marked, "residual_30m", raised, points,
                                         neighbour_pairs(points, limits.neighbour_km), limits.drift_threshold)
+    df = warmup(resolve_runs(marked, limits), limits.warmup_minutes).withColumn("minute", minute)
     df = df.join(confirmed, ["device_id", "minute"], "left")
     up = holds(F.col("residual_30m") > limits.drift_threshold)
     shared = holds(F.col("confirmed"))

@@ -8,6 +8,8 @@ the axis and not on the number of rows. Results equal those of the plain window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICE = "__slice"
@@ -38,43 +40,66 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column], take: dic
     return df.drop(SLICE, "__carry", "__rn", *[f"__p_{n}" for n in take])
 
 
-def runs(df: DataFrame, keys: list[str], order: list[Column], starts: Column, width: int | float) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[Column], take: dict[str, Column],
+         opens: Callable[[dict[str, Column], dict[str, Column]], Column], width: int | float) -> DataFrame:
     """Adds ``run_len`` (rows of the run so far) and ``run_start`` (its first ``order[0]``).
 
-    ``starts`` marks the rows that open a new run; it must be true on the first row of a key.
+    ``opens(before, now)`` says from the ``take`` values of two neighbouring rows whether the
+    second opens a new run; NULL counts as yes. The first row of a key always does.
     """
-    df = df.withColumn(SLICE, slice_no(order[0], width)).withColumn("__open", starts)
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    df = df.withColumn(SLICE, slice_no(order[0], width))
+    df = df.withColumns({f"__o{i}": c for i, c in enumerate(order)}).withColumns({f"__t_{n}": c for n, c in take.items()})
+    places, values = [f"__o{i}" for i in range(len(order))], [f"__t_{n}" for n in take]
+    w = Window.partitionBy(*keys, SLICE).orderBy(*places)
+    before = {n: F.lag(f"__t_{n}").over(w) for n in take}
+    now = {n: F.col(f"__t_{n}") for n in take}
+    df = df.withColumn("__rn", F.row_number().over(w)).withColumns({f"__b_{n}": c for n, c in before.items()})
+    opened = (F.col("__rn") > 1) & F.coalesce(opens({n: F.col(f"__b_{n}") for n in take}, now), F.lit(True))
+    df = df.withColumn("__open", opened)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("__rn", F.row_number().over(w)).withColumn("__pos", order[0])
-    df = (df.withColumn("__open_rn", F.max(F.when(F.col("__open"), F.col("__rn"))).over(upto))
-          .withColumn("__open_pos", F.max(F.when(F.col("__open"), F.col("__pos"))).over(upto)))
-
+    df = df.withColumns({"__open_rn": F.max(F.when(F.col("__open"), F.col("__rn"))).over(upto),
+                         "__open_pos": F.max(F.when(F.col("__open"), F.col("__o0"))).over(upto)})
+    ends = F.struct(*places, *values)
     per_slice = df.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias("n"), F.max("__open_rn").alias("last_rn"), F.max("__open_pos").alias("last_pos"))
+        F.count(F.lit(1)).alias("n"), F.max("__open_rn").alias("last_rn"), F.max("__open_pos").alias("last_pos"),
+        F.min(ends).alias("head"), F.max(ends).alias("tail"))
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
-    within = Window.partitionBy(*keys, "island").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
-    opens_here = F.col("last_rn").isNotNull()
-    per_slice = (per_slice
-                 .withColumn("island", F.sum(F.when(opens_here, 1).otherwise(0)).over(by_slice))
-                 .withColumn("part", F.when(opens_here, F.col("n") - F.col("last_rn") + 1).otherwise(F.col("n")))
-                 .withColumn("len_out", F.sum("part").over(within))
-                 .withColumn("pos_out", F.max("last_pos").over(within))
-                 .select(*keys, SLICE, F.lag("len_out").over(by_slice).alias("__len_in"),
-                         F.lag("pos_out").over(by_slice).alias("__pos_in")))
+    per_slice = per_slice.withColumn("tail_before", F.lag("tail").over(by_slice))
+    joint = opens({n: F.col(f"tail_before.__t_{n}") for n in take}, {n: F.col(f"head.__t_{n}") for n in take})
+    linked = F.col("tail_before").isNotNull() & ~F.coalesce(joint, F.lit(True))
+    per_slice = carry_runs(per_slice.withColumn("linked", linked).withColumn("head_pos", F.col("head.__o0")), keys)
     df = df.join(per_slice, [*keys, SLICE], "left")
-    df = (df.withColumn("run_len", F.when(F.col("__open_rn").isNull(), F.col("__rn") + F.coalesce("__len_in", F.lit(0)))
-                        .otherwise(F.col("__rn") - F.col("__open_rn") + 1).cast("long"))
-          .withColumn("run_start", F.coalesce("__open_pos", "__pos_in")))
-    return df.drop(SLICE, "__open", "__rn", "__pos", "__open_rn", "__open_pos", "__len_in", "__pos_in")
+    df = df.withColumn("run_len", F.when(F.col("__open_rn").isNull(), F.col("__rn") + F.col("__len_in"))
+                       .otherwise(F.col("__rn") - F.col("__open_rn") + 1).cast("long"))
+    df = df.withColumn("run_start", F.coalesce("__open_pos", "__pos_in"))
+    return df.drop(SLICE, "__open", "__rn", "__open_rn", "__open_pos", "__len_in", "__pos_in", *places, *values,
+                   *[f"__b_{n}" for n in take])
+
+
+def carry_runs(per_slice: DataFrame, keys: list[str]) -> DataFrame:
+    """What each slice inherits: length and start of the run that reaches into it.
+
+    ``per_slice`` has n, last_rn (rank of the last row that opens a run, if any), last_pos, head_pos
+    and linked (the first row goes on the run of the slice before).
+    """
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    within = Window.partitionBy(*keys, "island").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce("last_rn", F.when(~F.col("linked"), F.lit(1)))
+    pos = F.coalesce("last_pos", F.when(~F.col("linked"), F.col("head_pos")))
+    out = (per_slice.withColumn("last", last).withColumn("pos", pos)
+           .withColumn("island", F.sum(F.when(F.col("last").isNotNull(), 1).otherwise(0)).over(by_slice))
+           .withColumn("part", F.when(F.col("last").isNotNull(), F.col("n") - F.col("last") + 1).otherwise(F.col("n")))
+           .withColumn("len_out", F.sum("part").over(within)).withColumn("pos_out", F.max("pos").over(within)))
+    goes_on = F.col("linked")
+    return out.select(*keys, SLICE,
+                      F.when(goes_on, F.lag("len_out").over(by_slice)).otherwise(0).alias("__len_in"),
+                      F.when(goes_on, F.lag("pos_out").over(by_slice)).otherwise(F.col("head_pos")).alias("__pos_in"))
 
 
 def runs_of_value(df: DataFrame, keys: list[str], order: list[Column], value: Column,
                   width: int | float) -> DataFrame:
     """``runs`` of equal neighbouring values. NULL equals nothing, so it always opens a run."""
-    df = with_previous(df, keys, order, {"__before": value}, width)
-    starts = ~F.coalesce(value == F.col("__before"), F.lit(False))
-    return runs(df, keys, order, starts, width).drop("__before")
+    return runs(df, keys, order, {"v": value}, lambda before, now: before["v"] != now["v"], width)
 
 
 def trailing(df: DataFrame, keys: list[str], seconds: Column, window_s: int, width: int,

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from leeward.config import Limits
 from leeward.operators.alerts import alerts, clean_share, with_confidence
 from leeward.operators.late import dedup_exact, with_route
-from leeward.operators.quality import quality_status
+from leeward.operators.quality import history, quality_status
 from leeward.operators.rules import apply_rules, quarantine, reading_rules
+from leeward.session import staged
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,12 @@ def clean_readings(readings: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def refresh_quality(readings: DataFrame, devices: DataFrame, band: DataFrame, origin_s: int = 0,
                     limits: Limits = Limits()) -> DataFrame:
-    """Quality of all clean readings, from the raw readings."""
-    return quality_status(clean_readings(readings, limits), devices, band, origin_s, limits)
+    """Quality of all clean readings, from the raw readings.
+
+    The history frame is written once; the judgement then reads only the columns it needs from it.
+    """
+    marked = staged(history(clean_readings(readings, limits), band, origin_s, limits), "history")
+    return quality_status(marked, staged(devices, "devices"), limits)
 
 
 def live_alerts(quality: DataFrame, window_minutes: int = 60) -> DataFrame:

@@ -27,9 +27,7 @@ def clean(t: Tables) -> DataFrame:
 
 
 def refreshed(t: Tables) -> DataFrame:
-    # several branches read the clean table below, so it is written once
-    cleaned = staged(clean(t), "clean")
-    return quality.quality_status(cleaned, t.device_pos(), t.band(), ORIGIN_S, LIMITS)
+    return monitoring.refresh_quality(t.readings(), t.device_pos(), t.band(), ORIGIN_S, LIMITS)
 
 
 # ---- SQL steps shared by the independent side ----
