@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leeward.functions.geo import haversine_km
 from leeward.functions.numeric import epoch_s, holds
 from leeward.operators.geometry import within_radius
 
@@ -33,12 +32,16 @@ def neighbour_pairs(points: DataFrame, radius_km: float = 5.0) -> DataFrame:
     return near.select("point", "near")
 
 
-def per_minute(df: DataFrame, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One value per device and minute: the last one of the minute. ``keep`` is constant per device."""
+def _minute() -> Column:
+    return F.floor(epoch_s(F.col("event_time")) / 60).cast("long")
+
+
+def per_minute(df: DataFrame, value: str) -> DataFrame:
+    """One value per device and minute: the last one of the minute."""
     last = F.max(F.struct(epoch_s(F.col("event_time")).alias("s"), F.col(value).alias("v")))
     return (df.filter(F.col(value).isNotNull())
-            .groupBy("device_id", *keep, F.floor(epoch_s(F.col("event_time")) / 60).cast("long").alias("minute"))
-            .agg(last.alias("last")).select("device_id", *keep, "minute", F.col("last.v").alias("value")))
+            .groupBy("device_id", _minute().alias("minute"))
+            .agg(last.alias("last")).select("device_id", "minute", F.col("last.v").alias("value")))
 
 
 def _decision(n: Column, n_above: Column, below: Column, above: Column, threshold: float) -> Column:
@@ -47,20 +50,26 @@ def _decision(n: Column, n_above: Column, below: Column, above: Column, threshol
     return (n > 0) & ((n_above * 2 > n) | ((n_above * 2 == n) & middle))
 
 
-def confirmed_by_neighbours(readings: DataFrame, value: str, candidates: DataFrame, points: DataFrame,
-                            pairs: DataFrame, threshold: float) -> DataFrame:
-    """(device_id, minute, confirmed) for the candidate device-minutes.
+def confirmed_by_neighbours(readings: DataFrame, value: str, points: DataFrame, pairs: DataFrame,
+                            threshold: float) -> DataFrame:
+    """(device_id, minute, confirmed) for the device-minutes in which ``value`` passes the threshold.
 
-    ``confirmed`` says that the median over the other devices within the radius passes the
-    threshold. The median itself is not needed: counts above and below, and the two values on
-    each side that are nearest to the threshold, decide it exactly and merge freely.
+    ``confirmed`` says that the median over the other devices within the radius passes it too. The
+    median itself is not needed: counts above and below, and the two values on each side that are
+    nearest to the threshold, decide it exactly and merge freely. Only readings near a raised one,
+    in its minute, are looked at.
     """
     at = points.select("device_id", "point")
-    asked = candidates.join(at, "device_id").join(pairs, "point")
-    wanted = asked.select(F.col("near").alias("point"), "minute").distinct()
-    nearby = (readings.withColumn("minute", F.floor(epoch_s(F.col("event_time")) / 60).cast("long"))
-              .join(at, "device_id").join(wanted, ["point", "minute"], "left_semi"))
-    placed = per_minute(nearby, value, ("point",)).withColumn("above", F.col("value") > threshold)
+    timed = readings.select("device_id", "event_time", value, _minute().alias("minute"))
+    raised = timed.filter(F.col(value) > threshold).select("device_id", "minute").distinct()
+    wanted = (raised.join(at, "device_id").join(pairs, "point")
+              .select(F.col("near").alias("point"), "minute").distinct())
+    last = F.max(F.struct(epoch_s(F.col("event_time")).alias("s"), F.col(value).alias("v"))).alias("last")
+    placed = (timed.filter(F.col(value).isNotNull()).join(at, "device_id")
+              .join(wanted, ["point", "minute"], "left_semi").groupBy("device_id", "point", "minute")
+              .agg(last, F.max(F.col(value) > threshold).alias("raised")))
+    placed = placed.select("device_id", "point", "minute", "raised", F.col("last.v").alias("value"),
+                           (F.col("last.v") > threshold).alias("above"))
     nearest = Window.partitionBy("point", "minute", "above").orderBy(
         F.abs(F.col("value") - F.lit(threshold)), "device_id")
     closest = (placed.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= 2)
@@ -69,8 +78,8 @@ def confirmed_by_neighbours(readings: DataFrame, value: str, candidates: DataFra
     counts = placed.groupBy("point", "minute").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("above").alias("n_above"))
     summary = counts.join(closest, ["point", "minute"]).withColumnRenamed("point", "near")
-    own = placed.select("device_id", "minute", F.col("above").alias("own_above"))
-    seen = asked.join(own, ["device_id", "minute"]).join(summary, ["near", "minute"])
+    asked = placed.filter("raised").select("device_id", "point", "minute", F.col("above").alias("own_above"))
+    seen = asked.join(pairs, "point").join(summary, ["near", "minute"])
 
     def others(side: bool):
         return F.transform(F.filter("closest", lambda c: (c["device_id"] != F.col("device_id")) & (c["above"] == side)),

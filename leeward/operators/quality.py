@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leeward.config import Limits
 from leeward.functions.numeric import epoch_s, holds
 from leeward.operators.neighbours import confirmed_by_neighbours, neighbour_pairs, per_minute, station_points
 from leeward.operators.slices import SLICE, carry_runs, runs_of_value, slice_no, trailing, with_previous
 
-EVENT_S = epoch_s(F.col("event_time"))
-ORDER = [EVENT_S, F.col("ingestion_path")]
 DEVICE = ["device_id"]
 
 
+def event_s() -> Column:
+    return epoch_s(F.col("event_time"))
+
+
+def in_time() -> list[Column]:
+    return [event_s(), F.col("ingestion_path")]
+
+
 def with_model_band(readings: DataFrame, band: DataFrame, origin_s: int = 0) -> DataFrame:
     """Left join with the hourly model band on (cell_id, hour_no); no band leaves NULLs.
 
     ``origin_s`` is the epoch second at which hour 0 of the band begins.
     """
-    hour = F.floor((EVENT_S - F.lit(origin_s)) / 3600).cast("long")
+    hour = F.floor((event_s() - F.lit(origin_s)) / 3600).cast("long")
     return readings.withColumn("hour_no", hour).join(band, ["cell_id", "hour_no"], "left")
 
 
@@ -31,32 +37,32 @@ def with_residual(df: DataFrame, background: float = 0.05) -> DataFrame:
 
 def residual_mean(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Mean residual over the trailing window, current reading included."""
-    return trailing(df, DEVICE, EVENT_S, limits.drift_window_minutes * 60, limits.slice_seconds,
+    return trailing(df, DEVICE, event_s(), limits.drift_window_minutes * 60, limits.slice_seconds,
                     {"residual_30m": F.avg("residual")})
 
 
 def same_as_prev(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    df = with_previous(df, DEVICE, ORDER, {"prev_dose": F.col("dose_rate_usv_h")}, limits.slice_seconds)
+    df = with_previous(df, DEVICE, in_time(), {"prev_dose": F.col("dose_rate_usv_h")}, limits.slice_seconds)
     return df.withColumn("same_as_prev", holds(F.col("dose_rate_usv_h") == F.col("prev_dose")))
 
 
 def max_delta(df: DataFrame, column: str = "wind_speed_ms", limit: float = 25.0,
               slice_seconds: int = Limits.slice_seconds) -> DataFrame:
     """Flags steps between neighbouring readings of a device beyond ``limit``."""
-    df = with_previous(df, DEVICE, ORDER, {"prev_value": F.col(column)}, slice_seconds)
+    df = with_previous(df, DEVICE, in_time(), {"prev_value": F.col(column)}, slice_seconds)
     step = F.abs(F.col(column) - F.col("prev_value"))
     return df.withColumn("step", step).withColumn("step_exceeded", holds(F.col("step") > limit))
 
 
 def frozen_run(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Length so far of the series of equal dose values, and the flag from the n-th repeat on."""
-    df = runs_of_value(df, DEVICE, ORDER, F.col("dose_rate_usv_h"), limits.slice_seconds)
+    df = runs_of_value(df, DEVICE, in_time(), F.col("dose_rate_usv_h"), limits.slice_seconds)
     return df.withColumn("is_frozen", F.col("run_len") >= limits.frozen_repeats)
 
 
 def frozen_runs(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per series of at least n equal values."""
-    marked = runs_of_value(df, DEVICE, ORDER, F.col("dose_rate_usv_h"), limits.slice_seconds)
+    marked = runs_of_value(df, DEVICE, in_time(), F.col("dose_rate_usv_h"), limits.slice_seconds)
     per_run = marked.groupBy("device_id", F.col("run_start").alias("start_s")).agg(
         F.max(F.unix_seconds("event_time")).alias("end_s"), F.max("run_len").alias("n_readings"),
         F.max("dose_rate_usv_h").alias("dose_rate_usv_h"))
@@ -65,9 +71,9 @@ def frozen_runs(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def warmup(df: DataFrame, minutes: int = 10) -> DataFrame:
     """Flags the first minutes of a device. The first time per device is a merged minimum."""
-    first = df.groupBy("device_id").agg(F.min(EVENT_S).alias("first_s"))
+    first = df.groupBy("device_id").agg(F.min(event_s()).alias("first_s"))
     return (df.join(first, "device_id")
-            .withColumn("is_warmup", EVENT_S - F.col("first_s") < minutes * 60))
+            .withColumn("is_warmup", event_s() - F.col("first_s") < minutes * 60))
 
 
 def mark_history(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -77,8 +83,8 @@ def mark_history(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     which reads this frame twice: hand it a written table.
     """
     width, reach = limits.slice_seconds, limits.drift_window_minutes * 60
-    own = slice_no(EVENT_S, width)
-    df = df.withColumn("__sec", EVENT_S).withColumn("__home_slice", own)
+    own = slice_no(event_s(), width)
+    df = df.withColumn("__sec", event_s()).withColumn("__home_slice", own)
     df = df.withColumn(SLICE, F.explode(F.sequence(own, slice_no(F.col("__sec") + F.lit(reach), width))))
     df = df.withColumn("__home", F.col(SLICE) == F.col("__home_slice"))
     w = Window.partitionBy("device_id", SLICE).orderBy("__sec", "ingestion_path")
@@ -118,19 +124,18 @@ def history(clean: DataFrame, band: DataFrame, origin_s: int = 0, limits: Limits
     return mark_history(with_residual(with_model_band(clean, band, origin_s), limits.background_usv_h), limits)
 
 
-def quality_status(marked: DataFrame, devices: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def quality_status(marked: DataFrame, points: DataFrame, pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``quality_status`` in clean, drift_suspect, frozen, warmup, from a written ``history``.
 
+    ``points`` and ``pairs`` are the station points of the devices and which of them are near each
+    other (``station_points``, ``neighbour_pairs``); they change only with the registry.
+
     A raised residual that the neighbours share is a real signal over an area (``plume_signal``);
     one they do not share is drift. Only device-minutes with a raised residual are compared, and
     only readings of their neighbours in those minutes take part.
     """
-    minute = F.floor(EVENT_S / 60).cast("long")
-    raised = (marked.filter(F.col("residual_30m") > limits.drift_threshold)
-              .select("device_id", minute.alias("minute")).distinct())
-    points = station_points(devices)
-    confirmed = confirmed_by_neighbours(marked, "residual_30m", raised, points,
-                                        neighbour_pairs(points, limits.neighbour_km), limits.drift_threshold)
+    minute = F.floor(event_s() / 60).cast("long")
+    confirmed = confirmed_by_neighbours(marked, "residual_30m", points, pairs, limits.drift_threshold)
     df = warmup(resolve_runs(marked, limits), limits.warmup_minutes).withColumn("minute", minute)
     df = df.join(confirmed, ["device_id", "minute"], "left")
     up = holds(F.col("residual_30m") > limits.drift_threshold)
@@ -142,7 +147,7 @@ def quality_status(marked: DataFrame, devices: DataFrame, limits: Limits = Limit
 
 def quality_status_stable(quality: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Keeps a drift flag only from the n-th reading in a row on that carries it."""
-    df = runs_of_value(quality.drop("run_len", "run_start"), DEVICE, ORDER, F.col("quality_status"),
+    df = runs_of_value(quality.drop("run_len", "run_start"), DEVICE, in_time(), F.col("quality_status"),
                        limits.slice_seconds)
     brief = (F.col("quality_status") == "drift_suspect") & (F.col("run_len") < limits.stable_repeats)
     return df.withColumn("quality_status_stable", F.when(brief, "clean").otherwise(F.col("quality_status")))
@@ -155,7 +160,7 @@ def unit_shift(df: DataFrame, column: str = "wind_speed_ms", block_minutes: int
     Medians of neighbouring blocks of time are compared, so a single spike changes nothing.
     One row per device and block.
     """
-    block = F.floor(EVENT_S / (block_minutes * 60)).cast("long")
+    block = F.floor(event_s() / (block_minutes * 60)).cast("long")
     levels = (df.filter(F.col(column).isNotNull()).groupBy("device_id", block.alias("block"))
               .agg(F.percentile(F.col(column), F.lit(0.5)).alias("level"), F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("device_id").orderBy("block")
@@ -171,7 +176,7 @@ def impute_gaps(df: DataFrame, devices: DataFrame, gap_minutes: float = 5.0,
 
     Only the minutes inside a gap are generated. Minutes without any neighbour stay NULL.
     """
-    minute = F.floor(EVENT_S / 60).cast("long")
+    minute = F.floor(event_s() / 60).cast("long")
     seen = df.select("device_id", minute.alias("minute"), "ingestion_path", "event_time")
     seen = with_previous(seen, DEVICE, [F.col("minute"), F.col("event_time"), F.col("ingestion_path")],
                          {"prev_minute": F.col("minute")}, limits.slice_seconds // 60)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from leeward.config import Limits
 from leeward.operators.alerts import alerts, clean_share, with_confidence
 from leeward.operators.late import dedup_exact, with_route
+from leeward.operators.neighbours import neighbour_pairs, station_points
 from leeward.operators.quality import history, quality_status
 from leeward.operators.rules import apply_rules, quarantine, reading_rules
 from leeward.session import staged
@@ -33,11 +34,12 @@ def route_readings(readings: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def split_readings(readings: DataFrame, limits: Limits = Limits()) -> Split:
-    routed = route_readings(readings, limits)
-    on_time = dedup_exact(routed.filter("route = 'on_time'"), watermark_minutes=limits.dedup_watermark_minutes)
-    clean, refused = quarantine(on_time)
-    return Split(clean.drop("reasons", "route", "is_late"), routed.filter("route = 'late'"), refused,
-                 routed.filter("route = 'bad_timestamp'"))
+    routed = with_route(readings, limits.max_lag_minutes)
+    # the rules come after the shuffle of the deduplication, so their result does not travel
+    on_time = routed.filter("route = 'on_time'").select(*readings.columns)
+    once = apply_rules(dedup_exact(on_time, watermark_minutes=limits.dedup_watermark_minutes), reading_rules(limits))
+    clean, refused = quarantine(once)
+    return Split(clean.drop("reasons"), routed.filter("route = 'late'"), refused, routed.filter("route = 'bad_timestamp'"))
 
 
 def clean_readings(readings: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -51,7 +53,9 @@ def refresh_quality(readings: DataFrame, devices: DataFrame, band: DataFrame, or
     The history frame is written once; the judgement then reads only the columns it needs from it.
     """
     marked = staged(history(clean_readings(readings, limits), band, origin_s, limits), "history")
-    return quality_status(marked, staged(devices, "devices"), limits)
+    points = staged(station_points(devices), "points")
+    pairs = staged(neighbour_pairs(points, limits.neighbour_km), "pairs")
+    return quality_status(marked, points, pairs, limits)
 
 
 def live_alerts(quality: DataFrame, window_minutes: int = 60) -> DataFrame:

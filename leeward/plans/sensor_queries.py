@@ -15,7 +15,14 @@ from leeward.session import staged
 from leeward.sources.fixtures import ORIGIN_S, Tables, with_views
 
 LIMITS = Limits()
-EVENT, SENT = epoch_s(F.col("event_time")), epoch_s(F.col("sent_at"))
+
+
+def event() -> F.Column:
+    return epoch_s(F.col("event_time"))
+
+
+def sent() -> F.Column:
+    return epoch_s(F.col("sent_at"))
 
 
 def flag(condition) -> F.Column:
@@ -84,7 +91,7 @@ def _sql(body: str, steps: dict[str, str] = STEPS, views: str = VIEWS) -> str:
 def late_split(t: Tables) -> DataFrame:
     on_time, behind = late.split_late(t.readings(), LIMITS.max_lag_minutes)
     both = on_time.withColumn("route", F.lit("on_time")).unionByName(behind.withColumn("route", F.lit("late")))
-    return both.select("event_id", "device_id", "ingestion_path", EVENT.alias("event_s"), SENT.alias("sent_s"),
+    return both.select("event_id", "device_id", "ingestion_path", event().alias("event_s"), sent().alias("sent_s"),
                        quantize(F.col("lag_minutes")).alias("lag_minutes"), "route")
 
 
@@ -103,7 +110,7 @@ def late_metrics(t: Tables) -> DataFrame:
     cast(reasons = '' as bigint) as passed from routed where route = 'on_time'"""))
 def hard_rules(t: Tables) -> DataFrame:
     routed = monitoring.route_readings(t.readings(), LIMITS).filter("route = 'on_time'")
-    return routed.select("event_id", "device_id", "ingestion_path", EVENT.alias("event_s"),
+    return routed.select("event_id", "device_id", "ingestion_path", event().alias("event_s"),
                          F.concat_ws(",", "reasons").alias("reasons"), flag(F.size("reasons") == 0).alias("passed"))
 
 
@@ -131,7 +138,7 @@ def record_consistency(t: Tables) -> DataFrame:
 def dedup_exact(t: Tables) -> DataFrame:
     on_time, _ = late.split_late(t.readings(), LIMITS.max_lag_minutes)
     once = late.dedup_exact(on_time)
-    return once.select("device_id", EVENT.alias("event_s"), SENT.alias("sent_s"), "ingestion_path", "event_id",
+    return once.select("device_id", event().alias("event_s"), sent().alias("sent_s"), "ingestion_path", "event_id",
                        quantize(F.coalesce("dose_rate_usv_h", F.lit(-1.0)), 4).alias("dose"))
 
 
@@ -155,7 +162,7 @@ def dedup_paths(t: Tables) -> DataFrame:
 def max_delta(t: Tables) -> DataFrame:
     on_time, _ = late.split_late(t.readings(), LIMITS.max_lag_minutes)
     out = quality.max_delta(late.dedup_exact(on_time), "wind_speed_ms", LIMITS.wind_max_step)
-    return out.select("device_id", EVENT.alias("event_s"), "ingestion_path", quantize(F.col("step")).alias("step"),
+    return out.select("device_id", event().alias("event_s"), "ingestion_path", quantize(F.col("step")).alias("step"),
                       flag(F.col("step_exceeded")).alias("step_exceeded"))
 
 
@@ -163,7 +170,7 @@ def max_delta(t: Tables) -> DataFrame:
     from residuals""", HISTORY))
 def same_as_prev(t: Tables) -> DataFrame:
     out = quality.same_as_prev(clean(t), LIMITS)
-    return out.select("device_id", EVENT.alias("event_s"), "ingestion_path", flag(F.col("same_as_prev")).alias("same_as_prev"))
+    return out.select("device_id", event().alias("event_s"), "ingestion_path", flag(F.col("same_as_prev")).alias("same_as_prev"))
 
 
 @query(_sql("""select device_id, min(event_s) as start_s, max(event_s) as end_s, count(*) as n_readings,
@@ -186,7 +193,7 @@ def warmup(t: Tables) -> DataFrame:
     from routed)"""))
 def clock_disorder(t: Tables) -> DataFrame:
     out = late.clock_disorder(t.readings())
-    return out.select("device_id", SENT.alias("sent_s"), "event_id", "ingestion_path", EVENT.alias("event_s"),
+    return out.select("device_id", sent().alias("sent_s"), "event_id", "ingestion_path", event().alias("event_s"),
                       "prev_event_s", flag(F.col("is_disordered")).alias("is_disordered"))
 
 
@@ -200,8 +207,8 @@ KMH = "case when cell_id in (5, 6) and {s} >= 1300060800 + 3600 then wind_speed_
     select device_id, event_s // 1800 as block, median({KMH.format(s="event_s")}) as level, count(*) as n
     from cleaned group by 1, 2))"""))
 def unit_shift(t: Tables) -> DataFrame:
-    sent = clean(t).withColumn("wind_speed_ms", F.expr(KMH.format(s="unix_seconds(event_time)")))
-    out = quality.unit_shift(sent, "wind_speed_ms", 30, LIMITS)
+    drifting = clean(t).withColumn("wind_speed_ms", F.expr(KMH.format(s="unix_seconds(event_time)")))
+    out = quality.unit_shift(drifting, "wind_speed_ms", 30, LIMITS)
     return out.select("device_id", "block", "n", quantize(F.col("level")).alias("level"),
                       quantize(F.col("ratio")).alias("ratio"), flag(F.col("unit_suspect")).alias("unit_suspect"))
 
@@ -211,7 +218,7 @@ def unit_shift(t: Tables) -> DataFrame:
 def residual_30m(t: Tables) -> DataFrame:
     out = quality.residual_mean(quality.with_residual(
         quality.with_model_band(clean(t), t.band(), ORIGIN_S), LIMITS.background_usv_h), LIMITS)
-    return out.select("device_id", EVENT.alias("event_s"), "ingestion_path",
+    return out.select("device_id", event().alias("event_s"), "ingestion_path",
                       quantize(F.col("residual")).alias("residual"), quantize(F.col("residual_30m")).alias("residual_30m"))
 
 
@@ -231,7 +238,7 @@ def neighbour_median(t: Tables) -> DataFrame:
     quality_status, cast(plume_signal as bigint) as plume_signal from judged""", HISTORY))
 def quality_status(t: Tables) -> DataFrame:
     return refreshed(t).select(
-        "device_id", EVENT.alias("event_s"), "ingestion_path", quantize(F.col("residual_30m")).alias("residual_30m"),
+        "device_id", event().alias("event_s"), "ingestion_path", quantize(F.col("residual_30m")).alias("residual_30m"),
         "run_len", "quality_status", flag(F.col("plume_signal")).alias("plume_signal"))
 
 
@@ -243,7 +250,7 @@ def quality_status(t: Tables) -> DataFrame:
         "stretched": "select *, sum(turn) over (partition by device_id order by event_s, ingestion_path) as stretch from turned"}))
 def quality_status_stable(t: Tables) -> DataFrame:
     out = quality.quality_status_stable(staged(refreshed(t), "quality"), LIMITS)
-    return out.select("device_id", EVENT.alias("event_s"), "ingestion_path", "quality_status_stable")
+    return out.select("device_id", event().alias("event_s"), "ingestion_path", "quality_status_stable")
 
 
 @query(_sql(f"""select device_id, minute, {q6("v")} as value, n_neighbours, {q6("mean")} as neighbour_mean,
@@ -278,7 +285,7 @@ ALERTED = HISTORY | {
     from alerts a join shares s on s.window_s = a.event_s // 3600 * 3600 where alert_type is not null""", ALERTED))
 def live_alerts(t: Tables) -> DataFrame:
     found = monitoring.live_alerts(staged(refreshed(t), "quality"))
-    return found.select("device_id", EVENT.alias("event_s"), "ingestion_path", "cell_id", "alert_type",
+    return found.select("device_id", event().alias("event_s"), "ingestion_path", "cell_id", "alert_type",
                         quantize(F.col("dose_rate_usv_h")).alias("dose"), quantize(F.col("p95")).alias("p95"),
                         quantize(F.col("clean_share")).alias("clean_share"))
 
