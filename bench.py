@@ -11,10 +11,9 @@ from leeward.session import local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("late_split", "dedup_exact", "dedup_paths", "quality_status", "live_alerts", "device_health",
-            "neighbour_median", "device_scd2", "readings_asof_device", "city_exposure", "risk_rose", "top_cities",
-            "risk_map_hourly", "unit_deposition", "validation_metrics", "doc_chunks", "knn_top10", "answer_audit",
-            "stream_dedup")
+HEADLINE = ("late_split", "dedup_exact", "dedup_paths", "quality_status", "live_alerts", "neighbour_median",
+            "device_scd2", "readings_asof_device", "city_exposure", "risk_map_hourly", "validation_metrics",
+            "doc_chunks", "knn_top10", "answer_audit", "stream_dedup")
 
 
 def main() -> None:

@@ -107,10 +107,10 @@ class Physics:
     sectors: int = 16
     nuclides: tuple[Nuclide, ...] = NUCLIDES
     # Largest receptor table that is broadcast; a larger one is joined by shuffle.
-    broadcast_receptors: int = 1_000_000
-    # Largest number of scenarios per group sorted inside one row; above it the
+    broadcast_receptors: int = 200_000
+    # Largest number of scenarios per receptor that one window sorts; above it the
     # histogram-refinement percentile is used.
-    in_row_scenarios: int = 100_000
+    ranked_scenarios: int = 1_000_000
 
 
 @dataclass(frozen=True)

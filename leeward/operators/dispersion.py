@@ -86,43 +86,58 @@ def hits(hours: DataFrame, receptors: DataFrame, physics: Physics, partitions: i
         "travel_s": F.col("x") / F.col("u")})
 
 
-def nuclide_array(physics: Physics) -> Column:
-    return F.array(*[F.struct(
-        F.lit(n.name).alias("nuclide"), F.lit(float(n.half_life_s)).alias("half_life_s"),
-        F.lit(float(n.deposition_velocity)).alias("v_dep"), F.lit(float(n.scavenging_a)).alias("wash_a"),
-        F.lit(float(n.scavenging_b)).alias("wash_b"), F.lit(float(n.release_bq)).alias("release_bq"))
-        for n in physics.nuclides])
+def _deposit(n, episode_hours: int) -> Column:
+    """Deposit in kBq/m2 of one hour at one receptor, for the reference release spread evenly over the episode."""
+    dry = F.lit(float(n.deposition_velocity)) * F.col("dep_factor") * F.col("air")
+    washed = F.lit(float(n.scavenging_a)) * F.pow(F.col("rain"), F.lit(float(n.scavenging_b))) * F.col("load")
+    wet = F.when(F.col("rain") > 0, washed).otherwise(0.0)
+    return F.lit(n.release_bq / (episode_hours * 1000.0)) * (dry + wet) * decay_factor(F.col("travel_s"), n.half_life_s)
+
+
+def with_deposits(met: DataFrame, physics: Physics, episode_hours: int = 72) -> DataFrame:
+    """One deposit column per nuclide (dep0, dep1, ...): the geometry of a hit is shared."""
+    return met.withColumns({f"dep{i}": _deposit(n, episode_hours) for i, n in enumerate(physics.nuclides)})
+
+
+def by_nuclide(df: DataFrame, physics: Physics, measures: tuple[str, ...] = ("dep",)) -> DataFrame:
+    """Rows per nuclide from columns per nuclide."""
+    parts = F.array(*[F.struct(F.lit(n.name).alias("nuclide"), *[F.col(f"{m}{i}").alias(m) for m in measures])
+                      for i, n in enumerate(physics.nuclides)])
+    wide = {f"{m}{i}" for m in measures for i in range(len(physics.nuclides))}
+    return df.select(*[c for c in df.columns if c not in wide], F.inline(parts))
 
 
 def hourly_deposits(met: DataFrame, physics: Physics, episode_hours: int = 72) -> DataFrame:
-    """Deposition in kBq/m2 per hit and nuclide for the reference release, spread evenly over the episode."""
-    rows = met.select("*", F.inline(nuclide_array(physics)))
-    dry = F.col("v_dep") * F.col("dep_factor") * F.col("air")
-    wet = F.when(F.col("rain") > 0, F.col("wash_a") * F.pow(F.col("rain"), F.col("wash_b")) * F.col("load")).otherwise(0.0)
-    per_hour = F.col("release_bq") / F.lit(episode_hours * 1000.0)
-    kept = decay_factor(F.col("travel_s"), F.col("half_life_s"))
-    return rows.withColumn("dep", per_hour * (dry + wet) * kept).drop(
-        "half_life_s", "v_dep", "wash_a", "wash_b", "release_bq")
+    """Deposits per hit and nuclide as rows."""
+    return by_nuclide(with_deposits(met, physics, episode_hours), physics)
 
 
-def unit_deposition(deposits: DataFrame, physics: Physics) -> DataFrame:
-    """Per receptor, scenario and nuclide: deposition, first hour above the floor, and the
-    deposition by wind sector relative to the sector straight upwind (s0..s4 for -2..+2).
+def unit_deposition(met: DataFrame, physics: Physics, episode_hours: int = 72, with_timing: bool = True) -> DataFrame:
+    """Per receptor and scenario, columns per nuclide: the deposit summed over the episode and, with
+    timing, the first hour above the floor and the deposit by wind sector relative to the sector
+    straight upwind (s0_ to s4_ for -2 to +2).
 
     The plume edge keeps every contributing wind within two sectors of straight upwind, so five
-    sums hold all sectors.
+    sums hold all sectors. Hours lie by (site, episode), so the sum needs no shuffle.
     """
+    rows = with_deposits(met, physics, episode_hours)
     turn = F.pmod(F.col("sector") - F.col("upwind_sector") + F.lit(8), F.lit(16)) - F.lit(6)   # 0..4
-    return deposits.groupBy("site_no", "episode_id", "variant_id", "receptor_id", "nuclide").agg(
-        F.sum("dep").alias("dep"),
-        F.min(F.when(F.col("dep") > physics.arrival_floor, F.col("hour_in_episode"))).alias("arrival_h"),
-        F.min("upwind_sector").alias("upwind_sector"),
-        *[F.sum(F.when(turn == k, F.col("dep")).otherwise(0.0)).alias(f"s{k}") for k in range(5)])
-
-
-def episode_deposition(deposits: DataFrame) -> DataFrame:
-    """Per receptor, scenario and nuclide: the deposition only."""
-    return deposits.groupBy("site_no", "episode_id", "variant_id", "receptor_id", "nuclide").agg(F.sum("dep").alias("dep"))
+    figures = []
+    for i in range(len(physics.nuclides)):
+        dep = F.col(f"dep{i}")
+        figures.append(F.sum(dep).alias(f"dep{i}"))
+        if with_timing:
+            figures.append(F.min(F.when(dep > physics.arrival_floor, F.col("hour_in_episode"))).alias(f"arrival_h{i}"))
+            figures += [F.sum(F.when(turn == k, dep).otherwise(0.0)).alias(f"s{k}_{i}") for k in range(5)]
+    if with_timing:
+        figures.append(F.min("upwind_sector").alias("upwind_sector"))
+    return rows.groupBy("site_no", "episode_id", "variant_id", "receptor_id").agg(*figures)
+
+
+def scenario_rows(deps: DataFrame, physics: Physics) -> DataFrame:
+    """``unit_deposition`` with one row per nuclide."""
+    timing = ("arrival_h", *[f"s{k}_" for k in range(5)]) if "arrival_h0" in deps.columns else ()
+    return by_nuclide(deps, physics, ("dep", *timing))
 
 
 def concentrations(met: DataFrame) -> DataFrame:

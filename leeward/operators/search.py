@@ -17,10 +17,11 @@ def chunk(docs: DataFrame, size: int = 200, overlap: int = 40, key: str = "doc_i
     words = F.filter(F.split(F.col(text), r"[ \t\n\r\f]+"), lambda w: w != "")
     df = docs.select(key, words.alias("words")).filter(F.size("words") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("words") - F.lit(size)) / step).cast("int"))
-    df = df.select(key, "words", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    part = F.slice("words", F.col("chunk_no") * step + 1, F.lit(size))
-    df = df.select(key, F.col("chunk_no").cast("long").alias("chunk_no"), F.size(part).cast("long").alias("n_words"),
-                   F.array_join(part, " ").alias("chunk"))
+    # the parts are cut before they become rows, so no row carries the whole text
+    parts = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(
+        c.cast("long").alias("chunk_no"), F.slice("words", c * step + 1, F.lit(size)).alias("part")))
+    df = df.select(key, F.inline(parts))
+    df = df.select(key, "chunk_no", F.size("part").cast("long").alias("n_words"), F.array_join("part", " ").alias("chunk"))
     return df.withColumn("chunk_id", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"), "chunk")))
 
 

@@ -36,10 +36,18 @@ def climatology(weather: DataFrame, run: Run, physics: Physics, n_episodes: int
     return Climatology(hours, counts, run, physics)
 
 
+def plume_hits(clim: Climatology, receptors: DataFrame) -> DataFrame:
+    met = dispersion.release_hours(clim.hours, clim.physics, clim.run.n_variants, clim.run.seed)
+    return dispersion.hits(met, receptors, clim.physics)
+
+
 def deposits(clim: Climatology, receptors: DataFrame) -> DataFrame:
     """Hourly deposits of every plume at the receptors it reaches."""
-    met = dispersion.release_hours(clim.hours, clim.physics, clim.run.n_variants, clim.run.seed)
-    return dispersion.hourly_deposits(dispersion.hits(met, receptors, clim.physics), clim.physics, clim.run.episode_hours)
+    return dispersion.hourly_deposits(plume_hits(clim, receptors), clim.physics, clim.run.episode_hours)
+
+
+def scenario_deposits(clim: Climatology, receptors: DataFrame, with_timing: bool) -> DataFrame:
+    return dispersion.unit_deposition(plume_hits(clim, receptors), clim.physics, clim.run.episode_hours, with_timing)
 
 
 def as_receptors(cities: DataFrame) -> DataFrame:
@@ -47,13 +55,12 @@ def as_receptors(cities: DataFrame) -> DataFrame:
 
 
 def exposure_of(clim: Climatology, receptors: DataFrame, settings: Settings, with_timing: bool) -> DataFrame:
-    hourly = deposits(clim, receptors)
-    deps = dispersion.unit_deposition(hourly, clim.physics) if with_timing else dispersion.episode_deposition(hourly)
-    in_row = clim.most_scenarios() <= clim.physics.in_row_scenarios
-    if not in_row:
+    deps = scenario_deposits(clim, receptors, with_timing)
+    ranked = clim.most_scenarios() <= clim.physics.ranked_scenarios
+    if not ranked:
         deps = staged(deps, "deposition")   # the refinement reads it more than once
     q = space.draw_q(clim.run.n_source_samples, seed=clim.run.seed)
-    return gold.exposure(deps, clim.scenarios, q, settings.thresholds, clim.physics, with_timing, in_row)
+    return gold.exposure(deps, clim.scenarios, q, settings.thresholds, clim.physics, with_timing, ranked)
 
 
 def city_exposure(clim: Climatology, sites: DataFrame, cities: DataFrame, settings: Settings) -> DataFrame:
