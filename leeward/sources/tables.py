@@ -80,9 +80,13 @@ class VersionedTable:
 
 
 def write_partitioned(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite",
-                      files_per_partition: int = 1) -> None:
-    """Write with a fixed layout. A big partition is spread over several files by hash, not one task."""
+                      files_per_partition: int = 1, tasks: int | None = None) -> None:
+    """Write with a fixed layout. A big partition is spread over several files by hash, not one task.
+
+    Without ``tasks``, small pieces are merged by their size at run time.
+    """
     spread = [F.col(c) for c in columns]
     if files_per_partition > 1:
         spread.append(F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition)))
-    df.repartition(*spread).write.mode(mode).partitionBy(*columns).parquet(path)
+    laid = df.repartition(tasks, *spread) if tasks else df.repartition(*spread)
+    laid.write.mode(mode).partitionBy(*columns).parquet(path)
