@@ -163,11 +163,12 @@ def staged_df(df):
 
 
 def test_share_above_matches_counting(spark):
-    q = space.draw_q(37)
-    deps = [0.0, 1.0, 12.4, 37.0, 37.0 / q[3], 80.0, 123.4, 1e6]
-    df = spark.createDataFrame([(d,) for d in deps], "d double")
-    got = [r[1] for r in df.select("d", gold.share_above(F.col("d"), q, F.lit(37.0))).collect()]
-    assert got == [sum(x * d > 37.0 for x in q) / 37 for d in deps]
+    for q in (space.draw_q(37), space.draw_q(200), [1.0], [1.0, 1.0, 1.0, 2.0], [0.5, 0.5000000001, 3.0]):
+        deps = [0.0, 1e-300, 1.0, 12.4, 37.0, 80.0, 123.4, 1e6] + [37.0 / x * f for x in q for f in (1, 1 + 1e-15, 1 - 1e-15, 1.01)]
+        deps += [37.0 / 3.5 * 1.013 ** i for i in range(200)]
+        df = spark.createDataFrame([(d,) for d in deps], "d double")
+        got = [r[1] for r in df.select("d", gold.share_above(F.col("d"), q, F.lit(37.0))).collect()]
+        assert got == [sum(x * d > 37.0 for x in q) / len(q) for d in deps]
 
 
 def test_exposure_ways_agree(spark):
