@@ -29,12 +29,12 @@ def gate_units(documents: DataFrame, unit: str = "m/s") -> tuple[DataFrame, Data
 
 
 def explode_hours(documents: DataFrame) -> DataFrame:
-    """One row per hour, with requested and returned coordinates."""
+    """One row per hour, with requested and returned coordinates. Landed times are UTC in any session."""
     rows = documents.select(
         "*", F.inline(F.arrays_zip(*[F.col(f"hourly.{name}").alias(name) for name in ("time", *schemas.HOURLY)])))
     kept = [c for c in ("source_file", "ingest_timestamp", "site_no") if c in documents.columns]
     return rows.select("req_lat", "req_lon", F.col("latitude").alias("grid_lat"), F.col("longitude").alias("grid_lon"),
-                       F.col("elevation").alias("grid_elevation"), F.to_timestamp("time").alias("hour"),
+                       F.col("elevation").alias("grid_elevation"), F.to_timestamp(F.concat("time", F.lit("Z")), "yyyy-MM-dd'T'HH:mm[:ss]X").alias("hour"),
                        *schemas.HOURLY, *kept)
 
 
