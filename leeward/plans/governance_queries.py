@@ -21,7 +21,8 @@ def documents(t: Tables) -> DataFrame:
     hourly = t.weather().withColumn("day", F.floor(F.col("hour_no") / 24).cast("long"))
     fields = [F.col(name).cast("double").alias(name) for name in schemas.HOURLY]
     start = F.lit("2011-03-14 00:00:00").cast("timestamp_ntz")
-    when = F.date_format(start + F.make_dt_interval(hours=F.col("hour_no").cast("int")), "yyyy-MM-dd'T'HH:mm")
+    local = (start + F.make_dt_interval(hours=F.col("hour_no").cast("int"))).cast("string")
+    when = F.translate(F.substring(local, 1, 16), " ", "T")
     rows = hourly.select("site_no", "day", F.struct("hour_no", when.alias("time"), *fields).alias("h"))
     days = rows.groupBy("site_no", "day").agg(F.array_sort(F.collect_list("h")).alias("hs"))   # 24 hours at most
     arrays = [F.col(f"hs.{name}").alias(name) for name in ("time", *schemas.HOURLY)]

@@ -214,5 +214,5 @@ def local_time(t: Tables) -> DataFrame:
     start = F.lit("2011-03-14 00:00:00").cast("timestamp_ntz")
     utc = start + F.make_dt_interval(hours=F.col("hour_no").cast("int"))
     local = F.convert_timezone(F.lit("UTC"), zone, utc)
-    return (t.weather().select("site_no", F.date_format(local, "yyyy-MM-dd").alias("local_date"))
+    return (t.weather().select("site_no", local.cast("date").cast("string").alias("local_date"))
             .groupBy("site_no", "local_date").agg(F.count(F.lit(1)).alias("n_hours")))
