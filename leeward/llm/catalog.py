@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import quality, sharding
+from leeward.llm import decontaminate, mixing, pii, quality, repeats, sharding
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,27 @@ def op5_two_pass_shards(spark: SparkSession, folder: str) -> DataFrame:
         "r.doc_id", sharding.size_of(F.col("r.text")).alias("size"),
         F.crc32(F.coalesce("r.text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op6_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
+    made = mixing.mixed(read_table(spark, folder, "documents"), keep=["doc_id"])
+    return made.select("r.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query()
+def op3_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(read_table(spark, folder, "documents"))
+
+
+@query()
+def op4_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    found = decontaminate.overlaps(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "compared")
+
+
+@query()
+def op8_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
+    left = repeats.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
