@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, pii, quality, repeats, sharding
+from leeward.llm import decontaminate, mixing, ngramjoin, pii, quality, repeats, sharding
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op4_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 def op8_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
     left = repeats.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op7_t_occurrence(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngramjoin.groups(read_table(spark, folder, "documents"), n=3, num=90, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
