@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, ngramjoin, pii, quality, repeats, sharding
+from leeward.llm import decontaminate, mixing, ngramjoin, perplexity, pii, quality, repeats, sharding
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,13 @@ def op8_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
 def op7_t_occurrence(spark: SparkSession, folder: str) -> DataFrame:
     found = ngramjoin.groups(read_table(spark, folder, "documents"), n=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query()
+def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    model = perplexity.fit(docs.where(~held_out))
+    return perplexity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "lm.base_score", "lm.score")

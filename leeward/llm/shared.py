@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.session import staged
+from leeward.session import fresh_path, staged
 
-__all__ = ["ident", "read_table", "ship", "staged", "unused"]
+__all__ = ["fresh_folder", "ident", "read_table", "ship", "staged", "unused"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,3 +44,13 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(archive)
     context._leeward_shipped = True
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder in the shared one, as a URI."""
+    path = fresh_path(spark, name)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    uri = system.makeQualified(folder).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
