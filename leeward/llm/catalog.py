@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, ngramjoin, perplexity, pii, quality, repeats, sharding
+from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "lm.base_score", "lm.score")
+
+
+@query()
+def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
