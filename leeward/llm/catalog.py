@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding
+from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding, suffixes
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op10_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

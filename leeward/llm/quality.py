@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_c
 
 
 def score(docs: DataFrame, model: Model, *, text_column: str = "text", output: str = "score") -> DataFrame:
-    """``docs`` with a column ``output``: the weighted share of neighbours of class 1. One pass, no shuffle."""
+    """``docs`` with a column ``output`` (replaced if there): the weighted share of neighbours of class 1. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

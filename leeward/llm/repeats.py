@@ -157,14 +157,13 @@ def _words_left(text: bytes, starts: np.ndarray | None, width: int) -> tuple[byt
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50, id_column: str = "doc_id", text_column: str = "text",
-                   n_items: str = "n_words", n_removed: str = "n_removed",
                    bytes_per_bucket: int = BYTES_PER_BUCKET) -> DataFrame:
-    """``docs`` with the words kept (joined by one space) as text, and the counts of words and removed words."""
+    """``docs`` with the words kept (joined by one space) as text, and ``n_words`` and ``n_removed``; a name that is taken gets ``_`` behind it."""
     buckets = bucket_count(docs, text_column, bytes_per_bucket)
     rows = documents(docs, id_column, text_column, buckets).where("id is not null")
     starts = rows.mapInArrow(_sender(width, buckets), SENT).groupBy("bucket").applyInArrow(decide, STARTS)
     return apply_starts(docs, starts, lambda text, s: _words_left(text, s, width), buckets, id_column=id_column,
-                        text_column=text_column, extra=(n_items, n_removed))
+                        text_column=text_column, extra=(unused(docs, "n_words"), unused(docs, "n_removed")))
 
 
 def apply_starts(docs: DataFrame, starts: DataFrame, rule, targets: int, *, id_column: str, text_column: str,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leeward.session import fresh_path, staged
 
-__all__ = ["fresh_folder", "ident", "read_table", "ship", "staged", "unused"]
+__all__ = ["fresh_folder", "ident", "read_table", "ship", "staged", "tidy", "unused"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,3 +56,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     system.mkdirs(folder)
     uri = system.makeQualified(folder).toString()
     return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a finished write are removed at once instead of when the driver happens to collect them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
