@@ -36,7 +36,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
 
     Sources in order (nulls last) take the weights in turn. The targets share the whole size by weight; none passes ``most``
     times its source's size, the excess goes to the others by weight until none is above.
-    Those that stop are the ones with the least bound per weight, so running sums in that order find them.
+    Those that stop are the ones with the least bound per weight. If the first i of that order stop, the others get a level of
+    (all - their bounds) / (the weights left) per weight; the right i is the one with the highest level.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
@@ -47,11 +48,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     everything = Window.partitionBy(F.lit(1))
     level = ((F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
              / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    return (bounded.withColumn("level", level)
-            .withColumn("stops", F.col("bound") <= F.col("level") * F.col("weight"))
-            .withColumn("share", F.min(F.when(~F.col("stops"), F.col("level"))).over(everything))
-            .select("source", "source_size",
-                    F.when(F.col("stops"), F.col("bound")).otherwise(F.col("share") * F.col("weight")).alias("target")))
+    return (bounded.withColumn("level", level).withColumn("level", F.max("level").over(everything))
+            .select("source", "source_size", F.least(F.col("bound"), F.col("level") * F.col("weight")).alias("target")))
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = 1 << 17) -> np.ndarray:
@@ -129,8 +127,8 @@ def mixed(docs: DataFrame, *, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
         return frame[["source", "size", "source_size", "target", "whole", "extra"]]
 
     # One group is one source's distinct lengths, however many documents it has.
-    chosen = (lengths.join(goals, lengths["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-              .groupBy("source").applyInPandas(
+    named = goals.withColumnRenamed("source", "s")
+    chosen = (lengths.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s").groupBy("source").applyInPandas(
         choose, f"source {kind}, size long, source_size long, target double, whole int, extra long"))
     zero = goals.select("source", F.lit(0).cast("long").alias("size"), "source_size", "target",
                         F.lit(0).alias("whole"), F.lit(0).cast("long").alias("extra"))
