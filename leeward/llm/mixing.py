@@ -73,8 +73,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
         take[i] += k
         free[i] -= k
         left -= k * int(lengths[i])
-    usable = np.flatnonzero((free > 0) & (lengths <= left))
-    top = left + (int(lengths[usable].max()) if len(usable) else 0)       # a sum just above may be nearer
+    top = 2 * left                                                        # a sum above may be nearer, but none beyond this
+    usable = np.flatnonzero((free > 0) & (lengths <= top))
     reach = np.zeros(top + 1, bool)
     reach[0] = True
     by = np.full(top + 1, -1, np.int64)
