@@ -72,7 +72,7 @@ def candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     for g, (k, _) in enumerate(GENERATORS):
         wanted = F.lit(k) if k >= 0 else F.when(digits.between(13, 19), 2).when(digits.between(9, 15), 3)
         kind = kind.when(F.col("tag") == len(BASE) + g, wanted)
-    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     number = F.regexp_replace("match", "[^0-9]", "")
     valid = (F.when(F.col("tag") == 0, True).when(F.col("tag") == 1, F.col("match").rlike(rf"^{part}(?:\.{part}){{3}}$"))
              .when(F.col("tag") == 2, digits.between(13, 19) & F.call_function("luhn_check", number))
