@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from leeward.llm.shared import ident, staged
 
 SAMPLE = 8192
-SLACK = 5              # the bound is the score of this many times the places asked for, within the sample
+SLACK = 5              # the bound's place among all entries is at least about so many times the places asked for
 PER_SECOND_AXIS = 4096
 HASHED = "place int, block int, entry long, inner array<int>, least double, vector binary"
 
@@ -71,7 +71,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _hash_entries(hasher: Hasher, longest: float, extra: bool, probes: int, sample: np.ndarray, k: int):
+def _hash_entries(hasher: Hasher, longest: float, extra: bool, probes: int, sample: np.ndarray, bound: int):
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -85,7 +85,7 @@ def _hash_entries(hasher: Hasher, longest: float, extra: bool, probes: int, samp
                 asking = np.flatnonzero(asks)
                 q = raw[asking] / np.linalg.norm(raw[asking], axis=1, keepdims=True)
                 least = np.full(len(asking), -np.inf)
-                at = len(sample) - SLACK * (k + 1)
+                at = len(sample) - bound
                 if len(asking) and at > 0:
                     least = np.partition(raw[asking] @ sample.T, at, axis=1)[:, at]
                     least -= 1e-9 * (1 + np.abs(least))
@@ -178,8 +178,10 @@ def search(vectors: DataFrame, asks: Column, *, k: int = 20, id_column: str = "v
     second = min(full, max(1, told["n"] // PER_SECOND_AXIS))
     hasher = Hasher(full, second, tables, seed)
     sample = np.array([r["vector"] for r in entries.orderBy(F.xxhash64("h"), "h").select("vector").limit(SAMPLE).collect()], np.float64)
+    # k + 1 sampled entries reach the bound, so the answer does too; in a small table the bound is lower still.
+    bound = max(k + 1, math.ceil(SLACK * (k + 1) * len(sample) / max(1, told["n"])))
     hashed = staged(entries.select("entry", "vector", "asks").mapInArrow(
-        _hash_entries(hasher, told["most"], extra, math.ceil(probes * second ** 0.85), sample, k), HASHED), "hashed")
+        _hash_entries(hasher, told["most"], extra, math.ceil(probes * second ** 0.85), sample, bound), HASHED), "hashed")
     stock = hashed.where("block is null")
     blocks = (stock.groupBy("place").count().select("place", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
     stock = stock.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
