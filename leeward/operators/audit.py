@@ -17,17 +17,22 @@ METHOD_CUES = ("what does", "what is", "why", "how is", "explain", "method", "cl
 
 
 def city_aliases(cities: DataFrame, name: str = "city_name", aliases: str | None = None) -> DataFrame:
-    """(alias_key, city_id): folded names and aliases; a key several cities share goes to the smallest id."""
+    """(alias_key, city_id): folded names and aliases; a key that several cities share has no id."""
     names = F.array(F.col(name))
     if aliases:
         names = F.concat(names, F.coalesce(F.split(F.col(aliases), ","), F.array().cast("array<string>")))
     keys = cities.select("city_id", F.explode(names).alias("alias")).select("city_id", fold(F.col("alias")).alias("alias_key"))
-    return keys.filter(F.col("alias_key") != "").groupBy("alias_key").agg(F.min("city_id").alias("city_id"))
+    shared = keys.filter(F.col("alias_key") != "").groupBy("alias_key").agg(
+        F.min("city_id").alias("low"), F.max("city_id").alias("high"))
+    return shared.select("alias_key", F.when(F.col("low") == F.col("high"), F.col("low")).alias("city_id"))
 
 
 def resolve_alias(requests: DataFrame, aliases: DataFrame, column: str = "city_alias") -> DataFrame:
-    """Requests with the ``city_id`` their spelling stands for, or NULL."""
-    return requests.withColumn("alias_key", fold(F.col(column))).join(aliases, "alias_key", "left").drop("alias_key")
+    """Requests with the ``city_id`` their spelling stands for, and ``alias_status``: found, ambiguous or unknown."""
+    known = aliases.withColumn("__known", F.lit(True))
+    out = requests.withColumn("alias_key", fold(F.col(column))).join(known, "alias_key", "left")
+    status = F.when(F.col("city_id").isNotNull(), "found").when(F.col("__known"), "ambiguous").otherwise("unknown")
+    return out.withColumn("alias_status", status).drop("alias_key", "__known")
 
 
 def not_modelled(requests: DataFrame, gold: DataFrame, keys=("site_no", "city_id")) -> DataFrame:

@@ -13,7 +13,9 @@ def checksum(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     A sum of row digests in decimal arithmetic: it does not overflow, and it merges freely.
     """
     columns = columns or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    # every value goes in with its length, a NULL as a mark of its own: different rows give different texts
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
     digest = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("checksum"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -33,19 +36,23 @@ def centroids(vectors: DataFrame, group: str = "label", vector: str = "embedding
                                                 lambda s: s["m"]).alias("query_vector"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, max_queries: int = 1000, query_key: str = "query_id",
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 1000, query_key: str = "query_id",
         vector_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k most similar vectors per query by dot product, exactly.
 
-    ``queries`` (query_key, query_vector) is one batch of questions: its size is checked, and it
-    travels to the vectors as one array value. Each task keeps its own best k per query before
-    anything is shuffled.
+    ``queries`` (query_key, query_vector) meet the vectors in blocks of about ``block`` questions, each of which travels to
+    the vectors as one array value, one pass over them per block. Each task keeps its own best k per query before anything
+    is shuffled.
     """
-    packed = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("q"), F.col("query_vector").alias("qv"))).alias("qs"))
-    checked = packed.select(F.when(F.size("qs") <= max_queries, F.col("qs")).otherwise(
-        F.raise_error(F.lit(f"more than {max_queries} queries in one batch"))).alias("qs")).scalar()
-    rows = vectors.select(vector_key, F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"),
-                          F.explode(checked).alias("query"))
+    blocks = max(1, math.ceil(queries.count() / block))
+    numbered = queries.select(F.struct(F.col(query_key).alias("q"), F.col("query_vector").alias("qv")).alias("one"),
+                              F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("b"))
+    passes = []
+    for b in range(blocks):
+        packed = numbered.filter(F.col("b") == b).agg(F.collect_list("one").alias("qs")).scalar()
+        passes.append(vectors.select(vector_key, F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"),
+                                     F.explode(packed).alias("query")))
+    rows = reduce(DataFrame.unionAll, passes)
     score = F.aggregate(F.zip_with("v", "query.qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = rows.select(F.col("query.q").alias(query_key), vector_key, score.alias("score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), vector_key)

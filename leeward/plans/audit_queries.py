@@ -13,18 +13,18 @@ from leeward.sources.fixtures import Tables, with_views
 
 # an answer log derived from orders; urgent ones name a number their result does not hold
 ANSWERS = """select o_orderkey as answer_id, o_orderpriority as topic,
-    concat('P exceed is ', cast(o_custkey % 100 as string), '.5 percent for ', cast(cast(floor(o_totalprice) as bigint) as string), ' people',
+    concat('P exceed is ', cast(o_custkey % 100 as string), case when o_orderkey % 2 = 0 then ',5' else '.5' end, ' percent for ', cast(cast(floor(o_totalprice) as bigint) as string), ' people',
       case when o_orderpriority = '1-URGENT' then concat(' within ', cast(o_orderkey % 90 + 10 as string), ' km') else '' end,
       case when o_orderstatus <> 'P' then '. Comparative tool, not a crisis forecast.' else '.' end) as answer from {orders}"""
 RESULTS = """select o_orderkey as answer_id, o_custkey % 100 + cast(0.5 as double) as value from {orders}
     union all select o_orderkey, cast(floor(o_totalprice) as double) from {orders}"""
 
-# a question log derived from the first turns of conversations
-QUESTIONS = """select conv_id as question_id, case when conv_id % 2 = 0 then 'en' else 'pl' end as lang, concat(case conv_id % 6
+# a question log derived from all user turns of conversations
+QUESTIONS = """select conv_id * 1000 + turn as question_id, case when conv_id % 2 = 0 then 'en' else 'pl' end as lang, concat(case conv_id % 6
       when 0 then 'How likely is it that a release will contaminate the town? ' when 1 then 'Co oznacza ten próg? '
       when 2 then 'What is the method, and how many people are exposed? ' when 3 then 'Czy uwolnienie skazi miasto i dlaczego? '
-      when 4 then 'Which cities lie in the way? ' else '' end, text) as question, conv_id % 6 as site_no, conv_id % 7 as slip
-    from {conversations} where turn = 0"""
+      when 4 then 'Which cities lie in the way? ' else '' end, text) as question, conv_id % 6 as site_no, (conv_id + turn) % 7 as slip
+    from {conversations} where role = 'user'"""
 
 
 def answers(t: Tables) -> DataFrame:
@@ -40,7 +40,7 @@ def plain(text: str) -> str:
 
 
 @query(f"""with a as ({plain(ANSWERS)}), r as ({plain(RESULTS)}),
-    said as (select distinct answer_id, cast(unnest(regexp_extract_all(answer, '[0-9]+(?:[.][0-9]+)?')) as double) as number from a),
+    said as (select distinct answer_id, cast(replace(unnest(regexp_extract_all(answer, '[0-9]+(?:[.,][0-9]+)?')), ',', '.') as double) as number from a),
     wrong as (select s.answer_id, count(*) as n from said s where not exists (
       select 1 from r where r.answer_id = s.answer_id and r.value = s.number) group by 1)
     select a.answer_id, coalesce(w.n, 0) as n_unsupported, case when w.n > 0 then 'rejected' else 'accepted' end as verdict
@@ -81,27 +81,34 @@ def eval_report(t: Tables) -> DataFrame:
     return out.withColumn("accuracy", quantize(F.col("accuracy")))
 
 
-@query(with_views("v_requests", """select r.request_id, r.city_alias, a.city_id from v_requests r left join (
-    select lower(c_name) as alias_key, min(c_custkey) as city_id from customer group by 1) a on a.alias_key = lower(r.city_alias)"""))
+# spellings a city answers to; one that several cities share has no id
+ALIASES = """(select alias_key, case when count(distinct c_custkey) = 1 then min(c_custkey) end as city_id from (
+    select lower(c_name) as alias_key, c_custkey from customer union all select concat('gdansk-', c_custkey % 900), c_custkey from customer) group by 1) a
+    on a.alias_key = translate(lower(trim(r.city_alias)), 'ń', 'n')"""
+
+
+def resolved(t: Tables) -> DataFrame:
+    return audit.resolve_alias(t.requests(), audit.city_aliases(t.cities(), aliases="aliases"))
+
+
+@query(with_views("v_requests", f"""select r.request_id, r.city_alias, a.city_id, case when a.city_id is not null then 'found'
+    when a.alias_key is not null then 'ambiguous' else 'unknown' end as alias_status from v_requests r left join {ALIASES}"""))
 def alias_resolution(t: Tables) -> DataFrame:
-    aliases = audit.city_aliases(t.cities())
-    return audit.resolve_alias(t.requests(), aliases).select("request_id", "city_alias", "city_id")
+    return resolved(t).select("request_id", "city_alias", "city_id", "alias_status")
 
 
-@query(with_views("v_requests v_sites v_cities", """select r.request_id, r.site_no, a.city_id, case when n.city_id is null then 'not_modelled' else 'modelled' end as answer_status
-    from v_requests r left join (select lower(c_name) as alias_key, min(c_custkey) as city_id from customer group by 1) a on a.alias_key = lower(r.city_alias)
+@query(with_views("v_requests v_sites v_cities", f"""select r.request_id, r.site_no, a.city_id, case when n.city_id is null then 'not_modelled' else 'modelled' end as answer_status
+    from v_requests r left join {ALIASES}
     left join near n on n.site_no = r.site_no and n.city_id = a.city_id""", {"near": CITY_PAIRS}))
 def request_status(t: Tables) -> DataFrame:
-    found = audit.resolve_alias(t.requests(), audit.city_aliases(t.cities()))
-    return audit.answerable(found, near_cities(t)).select("request_id", "site_no", "city_id", "answer_status")
+    return audit.answerable(resolved(t), near_cities(t)).select("request_id", "site_no", "city_id", "answer_status")
 
 
-@query(with_views("v_requests v_sites v_cities", """select r.site_no, count(*) as n_refused
-    from v_requests r left join (select lower(c_name) as alias_key, min(c_custkey) as city_id from customer group by 1) a on a.alias_key = lower(r.city_alias)
+@query(with_views("v_requests v_sites v_cities", f"""select r.site_no, count(*) as n_refused
+    from v_requests r left join {ALIASES}
     where not exists (select 1 from near n where n.site_no = r.site_no and n.city_id = a.city_id) group by 1""", {"near": CITY_PAIRS}))
 def unmodelled_requests(t: Tables) -> DataFrame:
-    found = audit.resolve_alias(t.requests(), audit.city_aliases(t.cities()))
-    return audit.not_modelled(found, near_cities(t)).groupBy("site_no").agg(F.count(F.lit(1)).alias("n_refused"))
+    return audit.not_modelled(resolved(t), near_cities(t)).groupBy("site_no").agg(F.count(F.lit(1)).alias("n_refused"))
 
 
 @query("""with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') as words from documents),

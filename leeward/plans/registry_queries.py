@@ -129,9 +129,15 @@ def run_comparison(t: Tables) -> DataFrame:
     return diff_runs(accepted(15.0), accepted(12.0), ["event_id"]).groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(with_views("v_device_cdc", """select count(*) as n_rows, cast(sum(cast(concat('0x',
-    substr(md5(concat_ws('|', device_id, cast(start_seq as varchar), coalesce(cast(end_seq as varchar), ''), firmware,
-    jurisdiction_code)), 1, 12)) as bigint)) as varchar) as checksum from versions""", VERSIONS))
+def told_sql(*columns: str) -> str:
+    """Every value with its length, a NULL as a mark."""
+    return " || ".join(f"case when {c} is null then '-' else concat(cast(length(cast({c} as varchar)) as varchar), ':', cast({c} as varchar)) end"
+                       for c in columns)
+
+
+@query(with_views("v_device_cdc", f"""select count(*) as n_rows, cast(sum(cast(concat('0x',
+    substr(md5({told_sql('device_id', 'start_seq', 'end_seq', 'firmware', 'jurisdiction_code')}), 1, 12)) as bigint)) as varchar) as checksum
+    from versions""", VERSIONS))
 def run_checksum(t: Tables) -> DataFrame:
     from leeward.operators.runs import checksum
     versions = registry.scd2(t.device_cdc())

@@ -28,9 +28,10 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "leeward
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder every executor reaches: ``spark.checkpoint.dir``. Where it is unset, one of our own, in a single process only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        require_single_process(spark.sparkContext.master)
         folder = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def require_single_process(master: str) -> None:
+    """Refuse a folder of the driver's machine where executors run elsewhere."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder under master {master}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -102,7 +102,7 @@ class Tables:
     def cities(self) -> DataFrame:
         return self.read("customer").withColumn("site_no", F.expr("c_custkey % 4")).join(
             self.sites(), "site_no").selectExpr(
-            "c_custkey as city_id", "c_name as city_name", "site_no",
+            "c_custkey as city_id", "c_name as city_name", "concat('GDANSK-', cast(c_custkey % 900 as string)) as aliases", "site_no",
             "cast(lat + 1.1 * ((c_custkey * 7919) % 2001 - 1000) / 1000.0 as double) as lat",
             "cast(lon + 1.4 * ((c_custkey * 104729) % 2001 - 1000) / 1000.0 as double) as lon",
             "1000 + 10 * cast(floor(abs(c_acctbal)) as bigint) as population")
@@ -120,9 +120,8 @@ class Tables:
             "l_discount > 0.05 as is_wet", "l_shipdate as obs_time")
 
     def requests(self) -> DataFrame:
-        return self.read("conversations").filter("turn = 0").selectExpr(
-            "conv_id as request_id", "conv_id % 6 as site_no",
-            "concat('CUSTOMER#', lpad(cast((conv_id * 31) % 200 as string), 9, '0')) as city_alias",
+        return self.read("conversations").filter("role = 'user'").selectExpr(
+            "conv_id * 1000 + turn as request_id", "conv_id % 6 as site_no", f"{ALIAS} as city_alias",
             "cast(37 as double) as threshold_kbq_m2")
 
 
@@ -132,6 +131,10 @@ DOSE = """(cast(0.05 as double) + median) * (0.75 + 0.005 * k)
           * (case when dev = 7 and m between 60 and 180 then 1 + 0.01 * (m - 60) else 1 end)
           * (case when cell_id = 3 and m between 90 and 120 then 5 else 1 end)"""
 
+# how a user turn spells a city: by its name in capitals, or by an alias with an accent that two cities may share
+ALIAS = """case when conv_id % 3 = 0 then concat('CUSTOMER#', lpad(cast((conv_id * 31 + turn) % 200 as string), 9, '0'))
+    else concat(' Gdańsk-', cast((conv_id * 7 + turn) % 1200 as string)) end"""
+
 VIEW_SQL = {
     "v_sites": ((), "select site_no, site_id, jurisdiction_code, cast(lat as double) as lat, cast(lon as double) as lon "
                     "from (values " + ", ".join(f"({n}, '{i}', '{j}', {la}, {lo})" for n, i, j, la, lo in SITES)
@@ -207,9 +210,8 @@ VIEW_SQL = {
                floor(l_extendedprice * 10 + 0.5) / 10000 as obs,
                floor(l_extendedprice * 10 * (0.3 + l_quantity / 25) + 0.5) / 10000 as pred,
                l_discount > 0.05 as is_wet, l_shipdate as obs_time from lineitem"""),
-    "v_requests": ((), """select conv_id as request_id, conv_id % 6 as site_no,
-               concat('CUSTOMER#', lpad(cast((conv_id * 31) % 200 as string), 9, '0')) as city_alias,
-               cast(37 as double) as threshold_kbq_m2 from conversations where turn = 0"""),
+    "v_requests": ((), f"""select conv_id * 1000 + turn as request_id, conv_id % 6 as site_no, {ALIAS} as city_alias,
+               cast(37 as double) as threshold_kbq_m2 from conversations where role = 'user'"""),
 }
 
 

@@ -68,8 +68,10 @@ class VersionedTable:
         found = self.versions()
         version = version if version is not None else (found[-1] if found else 0) + 1
         df.write.mode("overwrite").parquet(self.folder(version))
+        # the newest older version is what a retry of this write starts from: it stays however often the write is repeated
         hadoop, _, fs = self._fs()
-        for old in found[: max(0, len(found) + 1 - self.keep)]:
+        older = [v for v in found if v < version]
+        for old in older[: max(0, len(older) - max(1, self.keep - 1))]:
             fs.delete(hadoop.Path(self.folder(old)), True)
         return version
 

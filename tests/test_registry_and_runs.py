@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -49,6 +50,32 @@ def test_unfinished_write_is_invisible(spark):
     assert table.versions() == [1] and table.read().count() == 3
 
 
+def test_repeated_writes_of_one_version_keep_what_they_start_from(spark):
+    table = VersionedTable(spark, fresh_path(spark, "u"))
+    for version in (1, 2):
+        table.overwrite(spark.range(version), version)
+    for _ in range(4):
+        assert table.before(3).count() == 2
+        table.overwrite(table.before(3).union(spark.range(1)), 3)
+    assert table.versions() == [2, 3] and table.read().count() == 3
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from leeward.session import require_single_process
+    for master in ("local", "local[8]", "local[*]"):
+        require_single_process(master)
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077", "k8s://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            require_single_process(master)
+
+
+def test_checksum_tells_rows_apart(spark):
+    def sums(*pairs):
+        return runs.checksum(spark.createDataFrame(list(pairs), "a string, b string")).first()["checksum"]
+    rows_ = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None), ("", ""), (None, None), ("-", ""), ("1:a", "")]
+    assert len({sums(r) for r in rows_}) == len(rows_)
+
+
 def test_checksum_and_difference(spark):
     a = spark.range(1000).select("id", (F.col("id") % 7).cast("string").alias("s"))
     b = a.repartition(13).orderBy(F.desc("id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from leeward import config, schemas
-from leeward.functions.text import fold
+from leeward.functions.text import fold, numbers_in
 from leeward.operators import audit, governance, search
 from leeward.session import fresh_path, make_folder
 from leeward.sources import files
@@ -127,8 +127,28 @@ def test_knn_matches_brute_force_and_checks_its_batch(spark):
         scored = sorted(((-sum(a * b for a, b in zip(vector, v)), i) for i, v in vectors.items()))[:4]
         got = search.knn(queries, df, 4).filter(F.col("query_id") == name).orderBy("place").collect()
         assert [r.vec_id for r in got] == [i for _, i in scored]
-    with pytest.raises(Exception, match="more than 1 queries"):
-        search.knn(queries, df, 4, max_queries=1).collect()
+    one, many = search.knn(queries, df, 4, block=1), search.knn(queries, df, 4)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_numbers_with_comma_and_sign(spark):
+    texts = ["12,5 and 3.25", "1,000 of 12,345,678.5", "-4 or \u22127,5", "2011-03-14 5-10", "a-1 b 1,2,3", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(numbers_in(F.col("t"))).collect()]
+    assert got == [[12.5, 3.25], [1000.0, 12345678.5], [-4.0, -7.5], [2011.0, 3.0, 14.0, 5.0, 10.0], [1.0, 1.2, 3.0], [], None]
+
+
+def test_shared_alias_is_ambiguous(spark):
+    cities = spark.createDataFrame([(1, "Alfa", "Ą"), (2, "Beta", "a,b"), (3, "beta", None)], "city_id long, city_name string, aliases string")
+    asked = spark.createDataFrame([("ALFA",), (" a",), ("b",), ("BETA",), ("c",), (None,)], "city_alias string")
+    got = {r.city_alias: (r.city_id, r.alias_status) for r in audit.resolve_alias(asked, audit.city_aliases(cities, aliases="aliases")).collect()}
+    assert got == {"ALFA": (1, "found"), " a": (None, "ambiguous"), "b": (2, "found"), "BETA": (None, "ambiguous"), "c": (None, "unknown"),
+                   None: (None, "unknown")}
+
+
+def test_header_in_another_order_is_refused(spark):
+    root = put(spark, "swapped.tsv", "name\tcity_id\taliases\tlat\tlon\tpopulation\nX\t1\ta\t54.5\t17.7\t35000\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_cities(spark, root).collect()
 
 
 def test_folding(spark):
