@@ -1,9 +1,8 @@
 """Unit plumes over receptors (grid cells or cities), summed to episodes in the same job.
 
-A receptor meets an hour only if it lies inside that hour's plume: downwind, and not further off
-the axis than ``edge_sigmas`` lateral spreads, beyond which the concentration counts as zero.
-That turns grid x hours into an equality join over bins of the plume direction, and rows outside
-the plume are never built.
+A receptor meets an hour only if it lies downwind and where the hour's deposit can reach a printed digit: not
+further off the axis than ``edge_sigmas`` lateral spreads (see ``Physics``). That turns grid x hours
+into an equality join over bins of the plume direction, and the other rows are never built.
 """
 
 from __future__ import annotations
@@ -86,6 +85,14 @@ def hits(hours: DataFrame, receptors: DataFrame, physics: Physics, partitions: i
         "travel_s": F.col("x") / F.col("u")})
 
 
+def sector_reach(physics: Physics) -> int:
+    """How many sectors a contributing wind can lie off straight upwind: the widest plume's half angle, and one for rounding."""
+    reach = int(plume.widest_half_angle_deg(physics.edge_sigmas) // (360.0 / physics.sectors)) + 1
+    if 2 * reach + 1 > physics.sectors:
+        raise ValueError(f"{physics.sectors} sectors are too few for a plume edge of {physics.edge_sigmas} sigmas")
+    return reach
+
+
 def _deposit(n, episode_hours: int) -> Column:
     """Deposit in kBq/m2 of one hour at one receptor, for the reference release spread evenly over the episode."""
     dry = F.lit(float(n.deposition_velocity)) * F.col("dep_factor") * F.col("air")
@@ -115,20 +122,21 @@ def hourly_deposits(met: DataFrame, physics: Physics, episode_hours: int = 72) -
 def unit_deposition(met: DataFrame, physics: Physics, episode_hours: int = 72, with_timing: bool = True) -> DataFrame:
     """Per receptor and scenario, columns per nuclide: the deposit summed over the episode and, with
     timing, the first hour above the floor and the deposit by wind sector relative to the sector
-    straight upwind (s0_ to s4_ for -2 to +2).
+    straight upwind (s0_ and on, from -reach to +reach).
 
-    The plume edge keeps every contributing wind within two sectors of straight upwind, so five
+    The plume edge keeps every contributing wind within ``sector_reach`` of straight upwind, so these
     sums hold all sectors. Hours lie by (site, episode), so the sum needs no shuffle.
     """
+    reach = sector_reach(physics)
     rows = with_deposits(met, physics, episode_hours)
-    turn = F.pmod(F.col("sector") - F.col("upwind_sector") + F.lit(8), F.lit(16)) - F.lit(6)   # 0..4
+    turn = F.pmod(F.col("sector") - F.col("upwind_sector") + F.lit(reach), F.lit(physics.sectors))   # 0..2 * reach
     figures = []
     for i in range(len(physics.nuclides)):
         dep = F.col(f"dep{i}")
         figures.append(F.sum(dep).alias(f"dep{i}"))
         if with_timing:
             figures.append(F.min(F.when(dep > physics.arrival_floor, F.col("hour_in_episode"))).alias(f"arrival_h{i}"))
-            figures += [F.sum(F.when(turn == k, dep).otherwise(0.0)).alias(f"s{k}_{i}") for k in range(5)]
+            figures += [F.sum(F.when(turn == k, dep).otherwise(0.0)).alias(f"s{k}_{i}") for k in range(2 * reach + 1)]
     if with_timing:
         figures.append(F.min("upwind_sector").alias("upwind_sector"))
     return rows.groupBy("site_no", "episode_id", "variant_id", "receptor_id").agg(*figures)
@@ -136,7 +144,7 @@ def unit_deposition(met: DataFrame, physics: Physics, episode_hours: int = 72, w
 
 def scenario_rows(deps: DataFrame, physics: Physics) -> DataFrame:
     """``unit_deposition`` with one row per nuclide."""
-    timing = ("arrival_h", *[f"s{k}_" for k in range(5)]) if "arrival_h0" in deps.columns else ()
+    timing = ("arrival_h", *[f"s{k}_" for k in range(2 * sector_reach(physics) + 1)]) if "arrival_h0" in deps.columns else ()
     return by_nuclide(deps, physics, ("dep", *timing))
 
 

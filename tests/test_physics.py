@@ -128,7 +128,23 @@ def test_shuffled_join_equals_broadcast_and_brute_force(spark):
     x = F.col("x_m") * F.col("sin_t") + F.col("y_m") * F.col("cos_t")
     y = F.col("x_m") * F.col("cos_t") - F.col("y_m") * F.col("sin_t")
     brute = pairs.withColumn("x", x).withColumn("y", y).filter("x >= 100").withColumn("s", plume.sigma_y(F.col("stability"), F.col("x")))
-    assert rows(brute.filter("abs(y) <= 4 * s"), *key) == rows(small, *key)
+    assert rows(brute.filter(f"abs(y) <= {c.physics.edge_sigmas} * s"), *key) == rows(small, *key)
+
+
+def test_edge_of_the_plume_changes_no_printed_digit(spark):
+    c, rec = climate(spark), receptors(spark)
+    met = dispersion.release_hours(c.hours, c.physics, 2, 42)
+    key = ["site_no", "receptor_id", "episode_id", "variant_id"]
+
+    def totals(sigmas):
+        physics = replace(c.physics, edge_sigmas=sigmas)
+        deps = dispersion.unit_deposition(dispersion.hits(met, rec, physics), physics, with_timing=False)
+        return {tuple(r[k] for k in key): (r.dep0, r.dep1) for r in deps.collect()}
+    near, far = totals(c.physics.edge_sigmas), totals(13.0)
+    assert set(near) <= set(far)
+    for k, (a, b) in far.items():
+        x, y = near.get(k, (0.0, 0.0))
+        assert abs(a - x) < 2e-5 and abs(b - y) < 2e-5
 
 
 def test_episode_sum_needs_no_shuffle_after_the_layout(spark):
