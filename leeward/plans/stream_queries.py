@@ -136,7 +136,7 @@ def stream_health(t: Tables) -> DataFrame:
 
 @query(with_views("v_readings", f"""select event_s // 3600 * 3600 as window_s, count(*) as n_readings, count(*) filter (route = 'on_time' and reasons = '') as n_clean,
     {q6("cast(count(*) filter (route = 'on_time' and reasons = '') as double) / count(*)")} as clean_share from routed
-    group by 1 having event_s // 3600 * 3600 + 3600 <= (select max(event_s) from routed) - 1800""", STEPS))
+    group by 1 having event_s // 3600 * 3600 + 3600 <= (select max(event_s) from routed) - 3600""", STEPS))
 def stream_clean_share(t: Tables) -> DataFrame:
     spark = t.spark
     root = landing_root(spark, "share")
@@ -145,7 +145,7 @@ def stream_clean_share(t: Tables) -> DataFrame:
     df = apply_rules(with_route(ingest.stream_readings(spark, f"{root}/landing", SENT, None), LIMITS.max_lag_minutes),
                      reading_rules(Limits()))
     df = df.withColumn("route", F.when((F.col("route") == "on_time") & (F.size("reasons") == 0), "clean").otherwise("other"))
-    shares = ingest.clean_share_stream(df, 60, 30)
+    shares = ingest.clean_share_stream(df)
     writer = ingest.write_bronze(shares, f"{root}/shares", f"{root}/checkpoint")
     in_slices(t.readings(), epoch_s(F.col("sent_at")), f"{root}/landing", lambda: ingest.run_available(writer))
     out = spark.read.schema(shares.schema).parquet(f"{root}/shares")

@@ -102,3 +102,18 @@ def test_metrics_rows(spark):
     land(frame(spark, [reading("a"), reading("b")]), f"{root}/landing")
     metrics = ingest.record_metrics(spark, ingest.run_available(writer))
     assert metrics.agg(F.sum("input_rows")).first()[0] >= 2 and metrics.agg(F.sum("dropped_rows")).first()[0] == 0
+
+
+def test_hour_of_late_resends_is_counted_whole(spark):
+    root = fresh_path(spark, "share")
+    first = [(f"2011-03-14 00:{m:02d}:00", "clean") for m in (0, 10, 59)] + [("2011-03-14 01:40:00", "clean")]
+    later = [("2011-03-14 00:50:00", "late"), ("2011-03-14 04:00:00", "clean")]
+    make_folder(spark, f"{root}/in")
+    stream = spark.readStream.schema("event_time timestamp, route string").parquet(f"{root}/in")
+    writer = ingest.write_bronze(ingest.clean_share_stream(stream), f"{root}/out", f"{root}/checkpoint")
+    for part in (first, later):
+        rows_ = spark.createDataFrame(part, "t string, route string").select(F.to_timestamp("t").alias("event_time"), "route")
+        rows_.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ingest.run_available(writer)
+    shares = spark.read.parquet(f"{root}/out").orderBy("window_s").collect()
+    assert [(r.n_readings, r.n_clean) for r in shares] == [(4, 3), (1, 1)]
