@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding, suffixes
+from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding, suffixes, twins
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,13 +75,13 @@ def op4_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", "compared")
 
 
-@query()
+@query(twins.WORD_WINDOWS)
 def op8_rabin_karp(spark: SparkSession, folder: str) -> DataFrame:
     left = repeats.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-@query()
+@query(twins.JACCARD_GROUPS)
 def op7_t_occurrence(spark: SparkSession, folder: str) -> DataFrame:
     found = ngramjoin.groups(read_table(spark, folder, "documents"), n=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -102,7 +102,7 @@ def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@query()
+@query(twins.BYTE_STRINGS)
 def op10_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
     left = suffixes.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,16 +34,20 @@ def ident(df: DataFrame, column: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, however the driver came by it."""
+    """Give the Python workers this package through the shared folder, once per application, however the driver came by it."""
     context = spark.sparkContext
     if getattr(context, "_leeward_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="spark-")
-    archive = f"{folder}/{root.name}_package.zip"
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, f"{root.name}/{path.relative_to(root)}")
+    archive = f"{fresh_folder(spark, 'package')}/{root.name}_package.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(archive)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
     context.addPyFile(archive)
     context._leeward_shipped = True
 
