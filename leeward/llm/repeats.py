@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from leeward.llm.blobs import bucket_count, cut, planes, squeeze, unplanes, unsqueeze
-from leeward.llm.shared import ident, unused
+from leeward.llm.shared import ident, staged, tidy, unused
 from leeward.llm.words import BASES, pieces, rows_of, runs
 
 # One schema for both kinds of rows: hashes for a range (keys not null), or starts already decided.
 SENT = "bucket int, docs binary, keys binary, rows binary, places binary"
 STARTS = "target int, docs binary, rows binary, places binary"
-BYTES_PER_BUCKET = 16 << 20
+BYTES_PER_BUCKET = 8 << 20
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -46,6 +46,11 @@ def grouped_minimum(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
 
 
+def spread(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """low, low + 1, .., low + count - 1 for each range, in order."""
+    return np.repeat(lows, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def starts_rows(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> list[tuple]:
     """Decided starts, a row per target: (target, table of the documents in it, row in that table, place)."""
     out = []
@@ -55,17 +60,22 @@ def starts_rows(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> list[
     rows, places = rows[order], places[order]
     for t, a, b in cut(docs[2][rows]):
         own, local = np.unique(rows[a:b], return_inverse=True)
-        out.append((t, docs[:, own].tobytes(), planes(local.astype(np.uint32)), planes(places[a:b].astype(np.uint32))))
+        out.append((t, planes(docs[:, own].ravel()), planes(local.astype(np.uint32)), planes(places[a:b].astype(np.uint32))))
     return out
 
 
 def documents(docs: DataFrame, id_column: str, text_column: str, targets: int) -> DataFrame:
     """(id, h, t, text): ``h`` tells apart texts with one id, ``t`` is the group in which a document is put together again."""
     number = ident(docs, id_column).cast("long")
-    return docs.select(number.alias("id"), F.xxhash64(ident(docs, text_column)).alias("h"),
+    return docs.select(number.alias("id"), text_mark(ident(docs, text_column)).alias("h"),
                        target_of(number, targets).cast("long").alias("t"), ident(docs, text_column).alias("text"))
 
 
+def text_mark(text):
+    """32 bits of a hash, which tell apart the few texts that may share an id."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def target_of(number, targets: int):
     return F.pmod(F.xxhash64(number), F.lit(targets))
 
@@ -95,7 +105,7 @@ def _sender(width: int, buckets: int):
                 decided = starts_rows(docs, rows[lost], places[lost])
                 kept = ~lost
                 keys, bucket, rows, places = keys[kept], bucket[kept], rows[kept], places[kept]
-                table = docs.tobytes()
+                table = planes(docs.ravel())
                 out = [(b, table, squeeze(keys[i:j]), planes(rows[i:j].astype(np.uint32)), planes(places[i:j].astype(np.uint32)))
                        for b, i, j in cut(bucket)]
                 out += [(t % buckets, d, None, r, p) for t, d, r, p in decided]
@@ -109,7 +119,7 @@ def decide(table: pa.Table) -> pa.Table:
     """One hash range: the starts of all windows that a smaller id has too."""
     docs, keys, rows, places, out, base = [], [], [], [], [], 0
     for r in table.to_pylist():
-        own = np.frombuffer(r["docs"], np.int64).reshape(3, -1)
+        own = unplanes(r["docs"], np.int64).reshape(3, -1)
         if r["keys"] is None:
             out.append((int(own[2, 0]), r["docs"], r["rows"], r["places"]))
             continue
@@ -133,7 +143,7 @@ def collected(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
     """Starts of each (id, h) from rows of ``STARTS``."""
     parts: dict[tuple[int, int], list[np.ndarray]] = {}
     for r in table.to_pylist():
-        docs = np.frombuffer(r["docs"], np.int64).reshape(3, -1)
+        docs = unplanes(r["docs"], np.int64).reshape(3, -1)
         rows, places = unplanes(r["rows"], np.uint32), unplanes(r["places"], np.uint32)
         for row, a, b in cut(rows):
             parts.setdefault((int(docs[0, row]), int(docs[1, row])), []).append(places[a:b])
@@ -161,7 +171,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_column: str = "doc_id
     """``docs`` with the words kept (joined by one space) as text, and ``n_words`` and ``n_removed``; a name that is taken gets ``_`` behind it."""
     buckets = bucket_count(docs, text_column, bytes_per_bucket)
     rows = documents(docs, id_column, text_column, buckets).where("id is not null")
-    starts = rows.mapInArrow(_sender(width, buckets), SENT).groupBy("bucket").applyInArrow(decide, STARTS)
+    with tidy(docs.sparkSession):
+        starts = staged(rows.mapInArrow(_sender(width, buckets), SENT).groupBy("bucket").applyInArrow(decide, STARTS), "starts")
     return apply_starts(docs, starts, lambda text, s: _words_left(text, s, width), buckets, id_column=id_column,
                         text_column=text_column, extra=(unused(docs, "n_words"), unused(docs, "n_removed")))
 
@@ -170,7 +181,7 @@ def apply_starts(docs: DataFrame, starts: DataFrame, rule, targets: int, *, id_c
                  extra: tuple[str, ...]) -> DataFrame:
     """Bring the decided starts to their texts: ``rule(text, starts or None)`` gives the new text and the figures ``extra``."""
     mark, target = unused(docs, "h"), unused(docs, "target")
-    rows = (docs.withColumn(mark, F.xxhash64(ident(docs, text_column)))
+    rows = (docs.withColumn(mark, text_mark(ident(docs, text_column)))
             .withColumn(target, target_of(ident(docs, id_column).cast("long"), targets).cast("int")))
     names = docs.columns
     schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in extra]])

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from leeward.llm.blobs import bucket_count, cut, planes, squeeze, unplanes, unsqueeze
-from leeward.llm.repeats import bucket_of, doc_table, documents, target_of
+from leeward.llm.repeats import bucket_of, doc_table, documents, spread, target_of, text_mark
 from leeward.llm.shared import ident, staged, tidy, unused
 from leeward.llm.words import _BYTE, BASES, mix, pieces, powers, rows_of
 
 ANCHOR = 50
-BYTES_PER_BUCKET = 24 << 20
+BYTES_PER_BUCKET = 16 << 20
 SENT = "bucket int, docs binary, keys binary, spans binary, rows binary, lows binary, counts binary"
 RANGES = "target int, asks boolean, docs binary, rows binary, lows binary, counts binary"
 
@@ -112,7 +112,7 @@ def range_rows(docs: np.ndarray, rows, lows, counts, asks: bool) -> list[tuple]:
     rows, lows, counts = rows[order], lows[order], counts[order]
     for t, a, b in cut(docs[2][rows]):
         own, local = np.unique(rows[a:b], return_inverse=True)
-        out.append((t, asks, docs[:, own].tobytes(), planes(local.astype(np.uint32)), planes(lows[a:b].astype(np.uint32)),
+        out.append((t, asks, planes(docs[:, own].ravel()), planes(local.astype(np.uint32)), planes(lows[a:b].astype(np.uint32)),
                     planes(counts[a:b].astype(np.uint32))))
     return out
 
@@ -139,7 +139,7 @@ def _send_anchors(width: int, buckets: int):
                 docs = doc_table(batch, piece.first, piece.n)
                 home, key = bucket_of(second, buckets), key >> np.uint64(8)
                 keep, lost, _ = split_firsts(docs[0][row], docs[1][row], low, home, key, span)
-                table = docs.tobytes()
+                table = planes(docs.ravel())
                 home, row_, low_, count_ = home[keep], row[keep], low[keep], count[keep]
                 key, span = key[keep], span[keep]
                 out = [(b, table, squeeze(key[i:j]), planes(span[i:j]), planes(row_[i:j].astype(np.uint32)),
@@ -179,10 +179,10 @@ def _index(table: pa.Table) -> pa.Table:
     out, docs, base, batches = [], [], 0, []
     for r in table.to_pylist():
         if r["keys"] is None:
-            own = np.frombuffer(r["docs"], np.int64).reshape(3, -1)
+            own = unplanes(r["docs"], np.int64).reshape(3, -1)
             out.append((int(own[2, 0]), False, r["docs"], r["rows"], r["lows"], r["counts"]))
             continue
-        docs.append(np.frombuffer(r["docs"], np.int64).reshape(3, -1))
+        docs.append(unplanes(r["docs"], np.int64).reshape(3, -1))
         batches.append([unsqueeze(r["keys"]), unplanes(r["spans"], np.uint64), unplanes(r["rows"], np.uint32).astype(np.int64) + base,
                         unplanes(r["lows"], np.uint32), unplanes(r["counts"], np.uint32)])
         base += docs[-1].shape[1]
@@ -206,7 +206,7 @@ def gathered(table: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndar
     parts: dict[tuple[int, int], list] = {}
     columns = [table.column(c).to_pylist() for c in ("docs", "rows", "lows", "counts")]
     for docs, rows, lows, counts in zip(*columns):
-        docs = np.frombuffer(docs, np.int64).reshape(3, -1)
+        docs = unplanes(docs, np.int64).reshape(3, -1)
         rows, lows, counts = (unplanes(x, np.uint32) for x in (rows, lows, counts))
         for row, a, b in cut(rows):
             parts.setdefault((int(docs[0, row]), int(docs[1, row])), []).append((lows[a:b], counts[a:b]))
@@ -214,12 +214,6 @@ def gathered(table: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndar
             for k, v in parts.items()}
 
 
-def spread(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """low, low + 1, .., low + count - 1 for each range, in order."""
-    step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.repeat(lows, counts) + step
-
-
 def _send_strings(width: int, buckets: int):
     """Hashes of the strings asked for, sent to their ranges."""
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -245,7 +239,7 @@ def _send_strings(width: int, buckets: int):
                     docs = doc_table(batch, piece.first, piece.n)
                     key = key >> np.uint64(8)
                     keep, lost, _ = split_firsts(docs[0][rows], docs[1][rows], starts, home, key)
-                    table = docs.tobytes()
+                    table = planes(docs.ravel())
                     one = np.ones(len(rows), np.uint32)
                     out = [(b, table, squeeze(key[keep[i:j]]), None, planes(rows[keep[i:j]].astype(np.uint32)),
                             planes(starts[keep[i:j]].astype(np.uint32)), planes(one[keep[i:j]])) for b, i, j in cut(home[keep])]
@@ -262,7 +256,7 @@ def _decide(table: pa.Table) -> pa.Table:
     """One range of strings: every occurrence but the first."""
     out, docs, base, keys, rows, lows = [], [], 0, [], [], []
     for r in table.to_pylist():
-        own = np.frombuffer(r["docs"], np.int64).reshape(3, -1)
+        own = unplanes(r["docs"], np.int64).reshape(3, -1)
         if r["keys"] is None:
             out.append((int(own[2, 0]), False, r["docs"], r["rows"], r["lows"], r["counts"]))
             continue
@@ -315,7 +309,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 100, id_column: str = "doc_i
         second = staged(strings.groupBy("bucket").applyInArrow(_decide, RANGES), "strings")
     ranges = first.where("not asks").union(second)
     mark, target = unused(docs, "h"), unused(docs, "target")
-    keyed = (docs.withColumn(mark, F.xxhash64(ident(docs, text_column)))
+    keyed = (docs.withColumn(mark, text_mark(ident(docs, text_column)))
              .withColumn(target, target_of(ident(docs, id_column).cast("long"), buckets).cast("int")))
     extra = [unused(docs, n) for n in ("kept", "n_bytes", "n_removed", "n_spans")]
     schema = StructType([*docs.schema.fields, StructField(extra[0], BinaryType()), *[StructField(n, LongType()) for n in extra[1:]]])
