@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct runs of ``n`` words (A-Z lower-cased; a shorter text is one run).
 Documents with the same set are one node. Two sets of sizes a <= b with similarity t or more differ in at most
 (1 - t) / (1 + t) * (a + b) members, so if a hash deals the members into more parts than that, some part is equal. Every node
-sends a hash of each part to the range of that hash; nodes that meet there, are near enough in size and in a 64-cell histogram of
+sends a hash of each part to the range of that hash; nodes that meet there, are near enough in size and in a histogram of
 their members, and are not joined yet, get an edge. That leaves small groups outside which no link can exist.
 Within a group the links are found by T-occurrence search (``toccurrence``) on the whole sets.
 
@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 
 from leeward.llm.blobs import bucket_count, cut, planes, squeeze, unplanes, unsqueeze
 from leeward.llm.graph import components
-from leeward.llm.repeats import bucket_of
-from leeward.llm.shared import ident, staged, unused
+from leeward.llm.repeats import bucket_of, spread
+from leeward.llm.shared import ident, staged, tidy, unused
 from leeward.llm.toccurrence import Forest, Index, link_all
 from leeward.llm.words import mix, pieces, rows_of, runs
 
 SENT = "bucket int, nodes binary, sizes binary, cells binary, keys binary, rows binary, ids binary, marks binary"
 MET = "a long, b long, id long, h long, n long, node long"
-CELLS = 64
-BYTES_PER_BUCKET = 48 << 20
+CELLS = 64                       # cells of a set's histogram; a larger set has more, about one for 16 members
+BYTES_PER_BUCKET = 48 << 20      # bytes of text per range at similarity 0.9; a lower one has more parts and smaller ranges
 BLOCK_MEMBERS = 1 << 20          # members of all sets of one block
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -86,6 +86,11 @@ def ngram_sets(piece, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], keys[new]
 
 
+def cell_counts(sizes: np.ndarray) -> np.ndarray:
+    """Cells of each set's histogram: a power of two, so that a finer one folds into a coarser one."""
+    return np.maximum(CELLS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 16)).clip(0).astype(np.int64))
+
+
 def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values, out=sums[1:])
@@ -144,15 +149,18 @@ def _sender(n: int, classes: Classes, buckets: int):
                     slot[chosen] = np.arange(len(chosen))
                     kept = slot[rows] >= 0
                     r, k, s = slot[rows[kept]], keys[kept], sizes[chosen]
-                    cells = np.bincount(r * CELLS + (k & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(chosen) * CELLS)
-                    cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+                    wide = cell_counts(s)
+                    at = np.concatenate([[0], np.cumsum(wide)])
+                    cells = np.bincount(at[r] + (k & (wide[r] - 1).astype(np.uint64)).astype(np.int64), minlength=at[-1])
+                    cells = np.minimum(cells, 255).astype(np.uint8)      # at a mean of 16 no cell gets near 255
                     row, sent = part_hashes(r, k, s, classes)
                     bucket = bucket_of(mix(sent ^ _SALT), buckets)
                     order = np.lexsort((sent, bucket))
                     row, sent, bucket = row[order], sent[order] >> np.uint64(8), bucket[order]
                     for b, i, j in cut(bucket):
                         used, local = np.unique(row[i:j], return_inverse=True)
-                        out.append((b, nodes[chosen[used]].tobytes(), planes(s[used].astype(np.uint32)), cells[used].tobytes(),
+                        out.append((b, nodes[chosen[used]].tobytes(), planes(s[used].astype(np.uint32)),
+                                    cells[spread(at[used], wide[used])].tobytes(),
                                     squeeze(sent[i:j]), planes(local.astype(np.uint32)), None, None))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[c] for x in out], pa.binary()) for c in range(1, 8)]],
@@ -160,12 +168,22 @@ def _sender(n: int, classes: Classes, buckets: int):
     return send
 
 
-def _near(one: int, others: np.ndarray, sizes: np.ndarray, cells: np.ndarray, classes: Classes) -> np.ndarray:
+def least_difference(one: np.ndarray, other: np.ndarray) -> int:
+    """What two sets differ in at least, from their histograms."""
+    if len(one) > len(other):
+        one, other = other, one
+    other = other.astype(np.int64).reshape(-1, len(one)).sum(axis=0)
+    return int(np.abs(other - one).sum())
+
+
+def _near(one: int, others: np.ndarray, sizes: np.ndarray, cells: list[np.ndarray], classes: Classes) -> np.ndarray:
     """Which sets may be alike to ``one``, by size and by the least difference that the histograms allow."""
     a, b = sizes[one], sizes[others]
-    far = np.abs(cells[others].astype(np.int16) - cells[one].astype(np.int16)).sum(axis=1)
-    return ((classes.num * np.maximum(a, b) <= classes.den * np.minimum(a, b))
-            & ((classes.den + classes.num) * far <= (classes.den - classes.num) * (a + b)))
+    near = classes.num * np.maximum(a, b) <= classes.den * np.minimum(a, b)
+    for i in np.flatnonzero(near):
+        far = least_difference(cells[one], cells[others[i]])
+        near[i] = (classes.den + classes.num) * far <= (classes.den - classes.num) * (a + b[i])
+    return near
 
 
 def _meeter(classes: Classes):
@@ -178,21 +196,27 @@ def _meeter(classes: Classes):
                 continue
             nodes.append(np.frombuffer(r["nodes"], np.uint64))
             sizes.append(unplanes(r["sizes"], np.uint32).astype(np.int64))
-            cells.append(np.frombuffer(r["cells"], np.uint8).reshape(-1, CELLS))
+            cells += np.split(np.frombuffer(r["cells"], np.uint8), np.cumsum(cell_counts(sizes[-1]))[:-1])
             keys.append(unsqueeze(r["keys"]))
-            rows.append(unplanes(r["rows"], np.uint32).astype(np.int64) + base)
+            rows.append(unplanes(r["rows"], np.uint32) + np.uint32(base))
             base += len(nodes[-1])
+        del table
         a, b = [], []
         if nodes:
             names, pick, same = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-            sizes, cells = np.concatenate(sizes)[pick], np.concatenate(cells)[pick]
-            keys, rows = np.concatenate(keys), same[np.concatenate(rows)]
+            sizes, cells = np.concatenate(sizes)[pick], [cells[i] for i in pick]
+            keys, rows = np.concatenate(keys), same.astype(np.uint32)[np.concatenate(rows)]
+            order = np.argsort(keys, kind="stable")
+            keys, rows = keys[order], rows[order]
+            twice = keys[1:] == keys[:-1]                       # most part hashes occur once and go here
+            again = np.append(twice, False) | np.insert(twice, 0, False)
+            keys, rows = keys[again], rows[again].astype(np.int64)
             order = np.lexsort((rows, keys))
             keys, rows = keys[order], rows[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
             keys, rows = keys[new], rows[new]
-            first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).astype(np.int64)
             forest = Forest(len(names))
             many = np.flatnonzero(np.diff(first) > 1)
             for x in many.tolist():
@@ -211,7 +235,7 @@ def _meeter(classes: Classes):
     return meet
 
 
-def _gather(group: np.ndarray, forest: Forest, sizes: np.ndarray, cells: np.ndarray, classes: Classes) -> None:
+def _gather(group: np.ndarray, forest: Forest, sizes: np.ndarray, cells: list[np.ndarray], classes: Classes) -> None:
     """Join the sets of one part hash that may be alike; a set in no one's reach is held against all others."""
     roots = {forest.find(i) for i in group.tolist()}
     if len(roots) == 1:
@@ -253,14 +277,15 @@ def _searcher(n: int, classes: Classes):
 
 
 def groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text",
-           bytes_per_bucket: int = BYTES_PER_BUCKET, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+           bytes_per_bucket: int | None = None, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """(id, h, n_shingles, component_id) per row of ``docs``: the smallest id that links lead to; similarity is num / den or more."""
     classes = Classes(num, den)
-    buckets = bucket_count(docs, text_column, bytes_per_bucket)
+    buckets = bucket_count(docs, text_column, bytes_per_bucket or BYTES_PER_BUCKET * den // (10 * max(1, den - num)))
     text = F.coalesce(ident(docs, text_column), F.lit(""))
     rows = docs.select(ident(docs, id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     known = rows.where("id is not null")
-    met = staged(known.mapInArrow(_sender(n, classes, buckets), SENT).groupBy("bucket").applyInArrow(_meeter(classes), MET), "met")
+    with tidy(docs.sparkSession):
+        met = staged(known.mapInArrow(_sender(n, classes, buckets), SENT).groupBy("bucket").applyInArrow(_meeter(classes), MET), "met")
     info = met.where("node is not null").select("id", "h", "n", "node")
     reach = components(met.where("a is not null").select("a", "b"))
     first = info.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "h")).alias("one"), F.max("n").alias("n"))
@@ -269,7 +294,8 @@ def groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col
               .select("root", F.ceil(F.col("total") / block_members).cast("int").alias("blocks")))
     members = (members.join(blocks, "root")
                .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n"))
-    near = staged(_once(known, ["id", "h"]).join(members, ["id", "h"]).select("root", "block", "blocks", "node", "text"), "near")
+    with tidy(docs.sparkSession):
+        near = staged(_once(known, ["id", "h"]).join(members, ["id", "h"]).select("root", "block", "blocks", "node", "text"), "near")
     found = staged(near.withColumn("asks", F.lit(False)).groupBy("root", "block")
                    .applyInArrow(_searcher(n, classes), "a long, b long"), "links")
     wide = near.where("blocks > 1")
