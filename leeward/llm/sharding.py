@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from leeward.llm.shared import ident, staged, unused
 
 OVERHEAD = 16
+BROADCAST_BUCKETS = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -48,6 +49,8 @@ def shuffled(docs: DataFrame, *, shards: int = 40, seed: int = 17, text_column:
     starts = (written.where("place = 0").select(F.col(bucket).alias("b"), "n")
               .withColumn("start", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
               .select("b", F.coalesce("start", F.lit(0)).alias("start")))
+    if buckets <= BROADCAST_BUCKETS:                    # one row of two numbers per bucket; beyond that, the join shuffles
+        starts = F.broadcast(starts)
     placed = written.join(starts, written[bucket] == starts["b"])
     order = F.col("start") + F.col("place")
     shard = F.pmod(order, F.lit(shards))
