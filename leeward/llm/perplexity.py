@@ -30,7 +30,7 @@ from leeward.llm.shared import fresh_folder, ident
 from leeward.llm.words import mix, pieces
 
 END, BEGIN = np.uint64(1), np.uint64(2)           # no word hashes to them: a word's hash is 3 or more
-BYTES_PER_BUCKET = 16 << 20
+BYTES_PER_BUCKET = 10 << 20
 _BUCKET_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
