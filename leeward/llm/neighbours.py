@@ -6,10 +6,13 @@ another; ``second`` grows with the number of vectors, so buckets do not. A query
 buckets in order of what it lacks to their axes (multiprobe), and every vector found there is scored exactly.
 
 Equal vectors are one entry with its smallest ``k + 1`` ids, all that any answer can need, so a vector with a third of all
-rows costs as much as any other. Large buckets are cut into blocks that the queries visit one by one. Inner products are turned into angles
-by one more coordinate where the lengths differ. A score that a query's answer will
+rows costs as much as any other. Large buckets are cut into blocks that the queries visit one by one. A score that a query's answer will
 surely reach is known from a bounded sample of entries; of what lies below it a block sends on its best only.
 
+Only directions are hashed. Entries lie in bands of length, each ``BAND`` times the next: a query leaves out the bands whose
+longest vector cannot reach its sure score, and visits more buckets of a band the smaller the cosine that reaches it there,
+up to all buckets of one table. So it does with the bands of few entries, if there are several bands.
+
 Vectors that are null, zero, hold a null, NaN or infinity, or have another length than most, take no part; nor do null
 ids. Rows equal in id and vector count once; rows with one id and several vectors are candidates each. Ties go to the smaller id. With no
 more than ``k`` candidates all those found are returned. No rows give no rows.
@@ -30,6 +33,9 @@ from leeward.llm.shared import ident, staged
 SAMPLE = 8192
 SLACK = 5              # the bound's place among all entries is at least about so many times the places asked for
 PER_SECOND_AXIS = 4096
+BAND = 1.1             # longest length of a band, times the shortest
+BANDS = 128            # shorter vectors than these bands hold lie in the last one
+SPARSE = 1024          # a band of up to so many entries is visited whole, if it isn't the only one
 HASHED = "place int, block int, entry long, inner array<int>, least double, vector binary"
 
 
@@ -71,41 +77,70 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _hash_entries(hasher: Hasher, longest: float, extra: bool, probes: int, sample: np.ndarray, bound: int):
+def _directions(raw: np.ndarray) -> np.ndarray:
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _wanted(least: np.ndarray, cosine: np.ndarray, lengths: np.ndarray, tops: np.ndarray, sparse: np.ndarray,
+            probes: int, buckets: int, tables: int) -> np.ndarray:
+    """Buckets to visit by query and band; -1: all of one table.
+
+    ``cosine`` is the angle's part in ``least``: what the same place among the sampled directions reaches.
+    """
+    needed = (least / lengths)[:, None] / tops[None, :]
+    near = np.where((least > 0) & (cosine > 0), 1.0, 0.0)[:, None] * np.minimum(1, needed / np.where(cosine > 0, cosine, 1)[:, None])
+    near = np.where(near > 0.999, 1.0, np.maximum(near, 0))
+    wanted = np.ceil(buckets * (probes / buckets) ** (near ** 2) - 1e-6).astype(int)
+    whole = sparse[None, :] | ((near < 1) & (wanted * tables >= 2 * buckets))
+    return np.where(needed > 1 + 1e-9, 0, np.where(whole, -1, wanted))
+
+
+def _hash_entries(hasher: Hasher, tops: np.ndarray, sparse: np.ndarray, probes: int, sample: np.ndarray, bound: int):
+    inner_count = 2 * hasher.second if hasher.second > 1 else 1
+    buckets = 2 * hasher.width * inner_count
+    pointed = _directions(sample)
+
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 raw = np.array(part.column("vector").to_pylist(), np.float64)
                 entries, asks = part.column("entry").to_numpy(), part.column("asks").to_numpy(zero_copy_only=False)
-                x = raw
-                if extra:
-                    x = np.column_stack([raw, np.sqrt(np.maximum(longest ** 2 - (raw ** 2).sum(axis=1), 0))])
+                bands = part.column("band").to_numpy()
+                x = _directions(raw)
                 vectors = [v.tobytes() for v in raw]
                 asking = np.flatnonzero(asks)
-                q = raw[asking] / np.linalg.norm(raw[asking], axis=1, keepdims=True)
-                least = np.full(len(asking), -np.inf)
+                q = x[asking]
+                least = cosine = np.full(len(asking), -np.inf)
                 at = len(sample) - bound
                 if len(asking) and at > 0:
                     least = np.partition(raw[asking] @ sample.T, at, axis=1)[:, at]
                     least -= 1e-9 * (1 + np.abs(least))
+                    cosine = np.partition(q @ pointed.T, at, axis=1)[:, at]
+                wanted = _wanted(least, cosine, np.linalg.norm(raw[asking], axis=1), tops, sparse, probes, buckets, hasher.tables)
                 rows = []
                 for t in range(hasher.tables):
                     a, b = hasher.axes(x, t)
                     first, inner = a.argmax(axis=1), b.argmax(axis=1)
-                    rows += [(t * 2 * hasher.width + int(first[i]), None, int(entries[i]), [int(inner[i])], None, vectors[i])
+                    rows += [(t * 2 * hasher.width + int(first[i]), None, int(entries[i]), [int(bands[i] * inner_count + inner[i])], None, vectors[i])
                              for i in range(len(raw))]
                     if not len(asking):
                         continue
                     a, b = hasher.axes(q, t)
                     lack = ((a.max(axis=1, keepdims=True) - a) ** 2)[:, :, None] + ((b.max(axis=1, keepdims=True) - b) ** 2)[:, None, :]
                     lack = lack.reshape(len(asking), -1)
-                    chosen = np.argpartition(lack, min(probes, lack.shape[1]) - 1, axis=1)[:, :probes]
-                    for i, own in enumerate(chosen):
-                        outer, inner = np.divmod(own, b.shape[1])
+                    for i, own in enumerate(wanted):
+                        most = max(own.max(), 1)
+                        order = np.argpartition(lack[i], min(most, buckets) - 1)[:most]
+                        order = order[np.argsort(lack[i, order])]
+                        whole = np.arange(buckets if t == 0 else 0)
+                        chosen = [whole if n < 0 else order[:n] for n in own]
+                        outer, cell = np.divmod(np.concatenate(chosen), b.shape[1])
+                        cell += np.repeat(np.arange(len(own)), [len(c) for c in chosen]) * inner_count
                         for axis in np.unique(outer):
                             rows.append((t * 2 * hasher.width + int(axis), -1, int(entries[asking[i]]),
-                                         inner[outer == axis].tolist(), float(least[i]), vectors[asking[i]]))
+                                         cell[outer == axis].tolist(), float(least[i]), vectors[asking[i]]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                      pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int32())),
@@ -172,23 +207,31 @@ def search(vectors: DataFrame, asks: Column, *, k: int = 20, id_column: str = "v
     # Entries that share their smallest id (one id with several vectors) are told apart by their place.
     clash = entries.groupBy("first").count().where("count > 1").limit(1).count() > 0
     entries = entries.withColumn("entry", F.xxhash64("first", "h") if clash else F.col("first"))
-    told = entries.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most"), F.min("length").alias("least")).first()
-    extra = told["least"] < 0.999 * told["most"]
-    full = 1 << max(1, math.ceil(math.log2(width + extra)))
+    told = entries.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).first()
+    fall = (F.log(F.lit(told["most"])) - F.log("length")) / math.log(BAND)
+    entries = entries.withColumn("band", F.floor(F.coalesce(F.least(fall, F.lit(BANDS - 1.0)), F.lit(BANDS - 1.0))).cast("int"))
+    bands = entries.groupBy("band").agg(F.max("length").alias("most"), F.count(F.lit(1)).alias("n")).orderBy("band").collect()
+    number = F.create_map(*[F.lit(v) for at, r in enumerate(bands) for v in (r["band"], at)])
+    entries = entries.withColumn("band", number[F.col("band")])
+    tops = np.array([r["most"] for r in bands], np.float64)
+    sparse = np.array([len(bands) > 1 and r["n"] <= SPARSE for r in bands])
+    full = 1 << max(1, math.ceil(math.log2(width)))
     second = min(full, max(1, told["n"] // PER_SECOND_AXIS))
     hasher = Hasher(full, second, tables, seed)
     sample = np.array([r["vector"] for r in entries.orderBy(F.xxhash64("h"), "h").select("vector").limit(SAMPLE).collect()], np.float64)
     # k + 1 sampled entries reach the bound, so the answer does too; in a small table the bound is lower still.
     bound = max(k + 1, math.ceil(SLACK * (k + 1) * len(sample) / max(1, told["n"])))
-    hashed = staged(entries.select("entry", "vector", "asks").mapInArrow(
-        _hash_entries(hasher, told["most"], extra, math.ceil(probes * second ** 0.85), sample, bound), HASHED), "hashed")
+    inner_count = 2 * second if second > 1 else 1
+    visits = min(math.ceil(probes * max(1, full / 64) * second ** 0.85), 2 * full * inner_count)
+    hashed = staged(entries.select("entry", "vector", "asks", "band").mapInArrow(
+        _hash_entries(hasher, tops, sparse, visits, sample, bound), HASHED), "hashed")
     stock = hashed.where("block is null")
     blocks = (stock.groupBy("place").count().select("place", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
     stock = stock.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
     sent = (hashed.where("block is not null").drop("block").join(blocks, "place")
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
     scored = stock.unionByName(sent).groupBy("place", "block").applyInArrow(
-        _scorer(k, 2 * second if second > 1 else 1), "query long, entry long, score double")
+        _scorer(k, len(bands) * inner_count), "query long, entry long, score double")
     best = (scored.groupBy("query", "entry").agg(F.max("score").alias("score"))
             .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry")))
             .where(F.col("r") <= k + 1).drop("r"))
