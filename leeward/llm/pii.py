@@ -3,9 +3,11 @@
 Base spans (e-mail, IP, card, phone) are found by pattern and checksum and always stay. High-recall generators
 propose more, overlapping spans. What is known about a candidate's format and surroundings becomes a row of
 small integer features; the distinct feature rows, weighted by their counts over all documents, train boosted
-trees (a candidate that is exactly a base span is a positive, one that overlaps none a negative). On the half of
-the documents the trees have not seen, the least score at which a kind's candidates are base spans in
-``precision`` of the cases becomes that kind's threshold; candidates beyond it are added, unless they touch a base span.
+trees on weak labels: checksums, ranges, number plans and words before the candidate speak for or against it, whether or not
+the base patterns find it; most candidates may stay without a label. On the half of
+the documents the trees have not seen, the least score at which a kind's labelled candidates are true in
+``precision`` of the cases becomes that kind's threshold; candidates beyond it are added, unless their own label is against
+them or they touch a base span.
 
 Positions count code points. They come from the lengths of what lies between matches, summed in order, so no
 text is moved: only matches are shuffled. Possessive quantifiers and look-behinds keep the patterns linear and without recursion
@@ -39,14 +41,28 @@ GENERATORS = (
     (1, r"(?<![0-9])[0-9]++(?:[.,:][0-9]++){3}"),
     (-1, r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"),
 )
-FEATURES = ("kind", "digits", "size", "marks", "plus", "bracket", "dots", "before", "after")
+FEATURES = ("kind", "digits", "size", "marks", "bracket", "dots", "before", "after", "check")
+# Words shortly before a candidate, and forms of numbers.
+_NEAR = r"(?:^|[^\p{L}])(?:%s)[^\p{L}0-9]{0,4}(?:\p{L}{1,12}[^\p{L}0-9]{1,3})?$"
+WORDS = (_NEAR % "e-?mail|mail|correo|courriel", _NEAR % "ip|host|server", _NEAR % "card|visa|mastercard|karte|kreditkarte|tarjeta|carte",
+         _NEAR % "tel|telefon|telefono|teléfono|téléphone|phone|telephone|call|mobile|mobil|handy|móvil|fax|whatsapp|cell")
+COUNTED = _NEAR % "id|no|nr|isbn|issn|order|invoice|account|serial|version|doi"
+PLANS = "|".join((
+    r"^(?:\+|00)[1-9][0-9]{0,2}[\x20().-]+[0-9]",
+    r"^(?:1[\x20.-]{0,2})?\([0-9]{2,5}\)[\x20.-]{0,2}[0-9]{2,4}(?:[\x20.-]?[0-9]{2,5}){1,3}$",
+    r"^0[1-9][0-9]{1,4}[\x20.-]{1,2}[0-9]{2,8}(?:[\x20.-][0-9]{2,5}){0,3}$",
+    r"^(?:1[\x20.-])?[2-9][0-9]{2}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"))
+DATED = r"^(?:[0-9]{1,2}[.-][0-9]{1,2}[.-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[.-][0-9]{2}[.-][0-9]{2})(?![0-9])"
 
 
 def _found(text: Column, pattern: str, tag: int) -> Column:
     """Matches of one pattern as an array of (tag, place, match, gap before it, characters around it)."""
     between = F.split(text, pattern, -1)
+    near = lambda i: F.lower(F.substring(between[i], -32, 32))
+    # One bit for each kind's words, one for those of counted things; the generators' matches only.
+    said = lambda i: sum((near(i).rlike(w).cast("int") * (1 << k) for k, w in enumerate((*WORDS, COUNTED))), F.lit(0))
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(
-        F.lit(tag).alias("tag"), i.alias("place"), m.alias("match"), F.length(between[i]).alias("gap"),
+        F.lit(tag).alias("tag"), (said(i) if tag >= len(BASE) else F.lit(0)).alias("said"), i.alias("place"), m.alias("match"), F.length(between[i]).alias("gap"),
         F.substring(between[i], -1, 1).alias("left"), F.substring(between[i + 1], 1, 1).alias("right")))
 
 
@@ -55,6 +71,21 @@ def _sort_of(char: Column) -> Column:
             .when(char.rlike("[A-Za-z]"), 3).when(char.rlike(r"[.,;:!?()\[\]|<>\"']"), 4).otherwise(5))
 
 
+def _weak_label(said: Column, luhn: Column) -> Column:
+    """Evidence for (true) or against (false) a candidate, null without any. It doesn't ask which pattern found it."""
+    match, kind, number = F.col("match"), F.col("kind"), F.regexp_replace("match", "[^0-9]", "")
+    word = lambda k: said.bitwiseAND(1 << k) != 0
+    glued = F.col("before").isin(2, 3) | F.col("after").isin(2, 3)
+    ranged, even = F.col("check") == 1, match.rlike(r"^[0-9]++(?:\.[0-9]++){3}$")
+    email = F.when(match.rlike(r"^[^@]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}[.!?:]*$"), True).when(
+        ~match.rlike(r"@[^@]*[.]") | match.rlike("@.*@"), False)
+    ip = F.when(~ranged, False).when(even | word(1), True).otherwise(False)
+    card = F.when(glued | ~luhn, False).when(number.rlike("^[3-6]") | word(2), True)
+    phone = (F.when(glued | even | word(len(WORDS)), False).when(word(3) | match.rlike(PLANS), True)
+             .when(match.rlike(r"^[0-9]+$") | match.rlike(DATED), False))
+    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
+
+
 def candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """All matches with positions: (id, h, base, kind, start, end, features). ``h`` is a hash of the text."""
     text = F.coalesce(ident(docs, text_column), F.lit(""))
@@ -68,24 +99,29 @@ def candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     length = F.length("match")
     end = F.sum(F.col("gap").cast("long") + length).over(order)
     digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
+    number = F.regexp_replace("match", "[^0-9]", "")
+    luhn = F.coalesce(F.call_function("luhn_check", number), F.lit(False))
+    called = F.col("match").rlike(r"^(?:\+|00[1-9]|\()")   # 13 to 15 digits can be either
     kind = F.when(F.col("tag") < len(BASE), F.col("tag"))
     for g, (k, _) in enumerate(GENERATORS):
-        wanted = F.lit(k) if k >= 0 else F.when(digits.between(13, 19), 2).when(digits.between(9, 15), 3)
+        wanted = F.lit(k) if k >= 0 else (F.when(digits.between(9, 15) & (called | (digits < 13) | ~luhn), 3)
+                                          .when(digits.between(13, 19), 2))
         kind = kind.when(F.col("tag") == len(BASE) + g, wanted)
     part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-    number = F.regexp_replace("match", "[^0-9]", "")
     valid = (F.when(F.col("tag") == 0, True).when(F.col("tag") == 1, F.col("match").rlike(rf"^{part}(?:\.{part}){{3}}$"))
              .when(F.col("tag") == 2, digits.between(13, 19) & F.call_function("luhn_check", number))
              .when(F.col("tag") == 3, digits.between(9, 15)).otherwise(F.col("kind").isNotNull()))
+    ranged = F.col("match").rlike(rf"^{part}(?:[.,:]{part}){{3}}$")
     return (one.withColumn("end", end).withColumn("start", F.col("end") - length).withColumn("kind", kind)
             .where(valid)
+            .withColumns({"before": _sort_of(F.col("left")), "after": _sort_of(F.col("right")),
+                          "check": F.when(F.col("kind") == 1, ranged).when(F.col("kind") == 2, luhn).otherwise(False).cast("int")})
             .select("id", "h", (F.col("tag") < len(BASE)).alias("base"), "kind", "start", "end",
                     F.least(digits, F.lit(20)).alias("digits"), F.least(length, F.lit(40)).alias("size"),
                     F.least(F.length(F.regexp_replace("match", r"[^\x20().,:-]", "")), F.lit(8)).alias("marks"),
-                    F.col("match").startswith("+").cast("int").alias("plus"),
                     F.col("match").contains("(").cast("int").alias("bracket"),
                     F.least(F.length(F.regexp_replace("match", "[^.]", "")), F.lit(5)).alias("dots"),
-                    _sort_of(F.col("left")).alias("before"), _sort_of(F.col("right")).alias("after")))
+                    "before", "after", "check", F.when(F.col("tag") >= len(BASE), _weak_label(F.col("said"), luhn)).alias("positive")))
 
 
 def _boosted(table: DataFrame, rounds: int) -> DataFrame:
@@ -111,11 +147,9 @@ def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
                   along.rangeBetween(Window.unboundedPreceding, 0)))
               .withColumn("next", F.min(F.when(F.col("base"), F.col("start"))).over(
                   along.rangeBetween(0, Window.unboundedFollowing)))
-              .withColumn("same", F.max("base").over(Window.partitionBy("id", "h", "kind", "start", "end")))
               .where("not base")
               .withColumn("touches", (F.coalesce(F.col("reach"), F.lit(-1)) > F.col("start"))
-                          | (F.coalesce(F.col("next"), F.col("end")) < F.col("end")))
-              .withColumn("positive", F.when(F.col("same"), True).when(~F.col("touches"), False)))
+                          | (F.coalesce(F.col("next"), F.col("end")) < F.col("end"))))
     marked = staged(marked.dropDuplicates(["id", "h", "kind", "start", "end"]), "pii-marked")
     table = marked.groupBy(*FEATURES, "positive", (F.pmod(F.xxhash64("h", F.lit(3)), F.lit(2)) == 0).alias("seen")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -130,7 +164,7 @@ def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     falling = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     least = (held.withColumn("right", F.sum("p").over(falling) / F.sum("n").over(falling))
              .where(F.col("right") >= precision).groupBy("kind").agg(F.min("score").alias("least")))
-    added = (marked.where("positive = false").join(scores, list(FEATURES)).join(least, "kind")
+    added = (marked.where("not touches and coalesce(positive, true)").join(scores, list(FEATURES)).join(least, "kind")
              .where("score >= least").select("id", "h", F.lit(False).alias("base"), "kind", "start", "end"))
     return spans.union(added)
 
