@@ -14,8 +14,3 @@ def spark():
     session = local_session(8, memory="8g", app="tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted."""
-    return sorted([tuple(r) for r in df.select(*order).collect()], key=str)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from dataclasses import replace
 
 from leeward.config import THRESHOLDS, Physics, Run, Settings

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from leeward.operators import registry, runs
 from leeward.session import fresh_path
 from leeward.sources.tables import VersionedTable, write_partitioned

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from leeward.config import Limits
 from leeward.operators import alerts, late, neighbours, quality, rules
 from leeward.operators.health import device_health, health_events

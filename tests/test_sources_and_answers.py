@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from leeward import config, schemas
 from leeward.functions.text import fold, numbers_in
 from leeward.operators import audit, governance, search

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from leeward import schemas
 from leeward.config import Limits
 from leeward.operators.health import device_health
