@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leeward.llm import decontaminate, mixing, neighbours, ngramjoin, perplexity, pii, quality, repeats, sharding, suffixes, twins
+from leeward.llm import (decontaminate, licences, manifest, mixing, neighbours, negatives, ngramjoin, perplexity, pii, quality, repeats,
+                         sharding, suffixes, twins)
 from leeward.llm.shared import read_table, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,25 @@ def op2_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
 def op10_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
     left = suffixes.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(twins.HARD_NEGATIVES)
+def op11_hilbert_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+@query(twins.MERKLE_LEAVES)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    def tampered(docs: DataFrame) -> dict:
+        lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return {"when": F.crc32(F.col("doc_id").cast("string")) % 3 == 0, "text": lower}
+    made = manifest.manifest(read_table(spark, folder, "documents"), tampered=tampered)
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op13_rare_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.report(read_table(spark, folder, "documents")).drop("notices")

@@ -143,7 +143,7 @@ def test_few_neighbours(spark):
 
 def test_queries_are_registered():
     names = sorted(llm_queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(llm_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(llm_sql()) <= set(names)
 
 
 def test_held_out_quality(spark):
