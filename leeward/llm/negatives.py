@@ -1,7 +1,7 @@
 """Hard negatives from Hilbert-ordered blocks with zone maps.
 
 Components are scaled to integers (floor of ``scale`` times x), so scores are exact. Rows are ordered along a Hilbert curve through all dimensions and
-written to Parquet as blocks of up to ``BLOCK`` rows, one packed row per block, with a zone map beside it: the least and greatest value of
+written to Parquet as blocks of up to ``Sizes.block`` rows, one packed row per block, with a zone map beside it: the least and greatest value of
 every dimension, and the labels it holds. Rows close on the curve are close in space, so zones are narrow where the data have any structure.
 
 For an anchor a and a zone, interval arithmetic bounds every score in the block: the upper bound takes hi where a is positive and lo where it is not,
@@ -25,6 +25,7 @@ Scores beyond 64 bits raise an OverflowError. Other columns are not looked at.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,6 @@ from pyspark.sql import functions as F
 from leeward.llm.shared import ident, staged, tidy
 
 SCALE = 256
-BLOCK = 1024            # rows of a block
-REGION = 16             # blocks of a region at most: what one tile reads
-WAVE = 8192             # anchors of a wave, about
-ZONES = 512             # blocks whose bounds one task works out at a time
 FLOOR = np.iinfo(np.int64).min
 PRODUCTS = 1 << 22      # scores held at once
 
@@ -46,6 +43,16 @@ BLOCKS = ("block long, region long, part int, n int, dims int, asked int, labels
           "ids binary, labels binary, flags binary, seeds binary, vectors binary")
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """What is held at once."""
+
+    block: int = 1024           # rows of a block, 1,024 at most
+    region: int = 16            # blocks of a region at most: what one tile reads
+    wave: int = 8192            # anchors of a wave, about
+    zones: int = 512            # blocks whose bounds one task works out at a time
+
+
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Bytes of the place on the Hilbert curve of each row of ``cells`` (n, d), whose values have ``bits`` bits."""
     x = np.ascontiguousarray(cells.T.astype(np.uint32))
@@ -148,7 +155,7 @@ def _unlike(labels: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own[:, None] != labels[None, :]
 
 
-def _packer(numbers: Numbers, positives: int):
+def _packer(numbers: Numbers, positives: int, sizes: Sizes):
     """Sorted rows of a range to blocks. Anchors get a floor from their own region."""
     def region_rows(part, region, dims, table):
         rows = {c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c) for c in ("id", "label", "asked", "vector")}
@@ -168,10 +175,10 @@ def _packer(numbers: Numbers, positives: int):
             r, c = np.nonzero(~_unlike(labels, labels[some]) & (ids[some][:, None] != ids[None, :]))
             best.add(r + i, scores[r, c], ids[c])
         seeds[who] = best.kth()
-        for b, i in enumerate(range(0, len(ids), BLOCK)):
-            cut = slice(i, i + BLOCK)
+        for b, i in enumerate(range(0, len(ids), sizes.block)):
+            cut = slice(i, i + sizes.block)
             v = vectors[cut]
-            yield ((part << 32) + region * REGION + b, (part << 32) + region, part, len(v), dims, int(asked[cut].sum()),
+            yield ((part << 32) + region * sizes.region + b, (part << 32) + region, part, len(v), dims, int(asked[cut].sum()),
                    np.unique(labels[cut]).tolist(), numbers.pack(v.min(axis=0)), numbers.pack(v.max(axis=0)), ids[cut].astype("<i8").tobytes(),
                    labels[cut].astype("<i8").tobytes(), asked[cut].tobytes(), seeds[cut].astype("<i8").tobytes(), numbers.pack(v))
 
@@ -187,9 +194,9 @@ def _packer(numbers: Numbers, positives: int):
                 dims = held["dims"][0].as_py()
                 same = np.flatnonzero(held["dims"].to_numpy() != dims)
                 end = int(same[0]) if len(same) else len(held)
-                if end == len(held) and end < BLOCK * REGION:
+                if end == len(held) and end < sizes.block * sizes.region:
                     break                                       # more rows of this region may come
-                end = min(end, BLOCK * REGION)
+                end = min(end, sizes.block * sizes.region)
                 yield record(region_rows(part, region, dims, held.slice(0, end)))
                 held, region = held.slice(end), region + 1
         if held is not None and len(held):
@@ -203,13 +210,13 @@ BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("region", pa.int64()), ("part"
 NAMES = BLOCK_SCHEMA.names
 
 
-def blocks(rows: DataFrame, asked: Column, numbers: Numbers, count: int, *, scale: int, positives: int) -> DataFrame:
+def blocks(rows: DataFrame, asked: Column, numbers: Numbers, count: int, sizes: Sizes, *, scale: int, positives: int) -> DataFrame:
     """Packed blocks in the order of the curve, as a table in the shared folder."""
     keyed = (rows.withColumn("asked", F.coalesce(asked, F.lit(False))).select("id", "label", "asked", "vector")
              .mapInArrow(_keys(numbers, scale), "id long, label long, asked boolean, dims int, key binary, vector binary"))
-    parts = max(1, math.ceil(count / (BLOCK * REGION // 2)))
+    parts = max(1, math.ceil(count / max(1, sizes.block * sizes.region // 2)))
     ranged = keyed.repartitionByRange(parts, "dims", "key", "id").sortWithinPartitions("dims", "key", "id", "label", "vector")
-    return staged(ranged.mapInArrow(_packer(numbers, positives), BLOCKS), "blocks")
+    return staged(ranged.mapInArrow(_packer(numbers, positives, sizes), BLOCKS), "blocks")
 
 
 def _anchors(numbers: Numbers):
@@ -317,13 +324,13 @@ def _answers(wave: Wave, held: list[dict], numbers: Numbers, dims: int, negative
     return wave.uid[rows // width], rows % width, scores, ids
 
 
-def _searched(table: DataFrame, anchors: DataFrame, numbers: Numbers, negative: bool, k: int) -> DataFrame:
+def _searched(table: DataFrame, anchors: DataFrame, numbers: Numbers, negative: bool, k: int, sizes: Sizes) -> DataFrame:
     """(uid, window, score, id, place): the best ``k`` rows of all blocks for every question of ``anchors``."""
     waves = anchors.select("wave").distinct()
-    n_blocks = table.count()
-    zones = table.select("block", "region", "dims", "labels_in", "lo", "hi").withColumn("share", F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // ZONES))))
+    shared = max(1, table.count() // sizes.zones)
+    zones = table.select("block", "region", "dims", "labels_in", "lo", "hi").withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shared)))
     # Every wave meets every group of zones, a few hundred bytes a block; blocks follow only where the bounds let them.
-    shares = waves.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_blocks // ZONES) - 1)))).withColumn("share", F.col("share").cast("long"))
+    shares = waves.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shared - 1)))).withColumn("share", F.col("share").cast("long"))
     seen = (zones.join(shares, "share").select(F.col("wave").alias("l_wave"), F.col("share").alias("l_share"), "block", "region", "dims", "labels_in", "lo", "hi")
             .groupBy("l_wave", "l_share").cogroup(anchors.join(shares, "wave").groupBy("wave", "share")))
     needed = staged(seen.applyInArrow(_needed(numbers, negative), "wave int, region long, block long"), "needed")
@@ -341,7 +348,7 @@ def _floored(x: Column, by: int) -> Column:
     return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
 
 
-def mine(rows: DataFrame, anchors: Column, *, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = SCALE,
+def mine(rows: DataFrame, anchors: Column, *, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = SCALE, sizes: Sizes = Sizes(),
          id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows of ``rows`` where ``anchors`` holds.
 
@@ -357,20 +364,20 @@ def mine(rows: DataFrame, anchors: Column, *, positives: int = 5, negatives: int
     seen = plain.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("top"), F.max(F.size("vector")).alias("dims")).first()
     numbers = Numbers(math.ceil(scale * (seen["top"] or 0.0)) + 1, seen["dims"] or 0)
     with tidy(spark):
-        table = blocks(plain, F.col("chosen"), numbers, seen["n"], scale=scale, positives=positives)
+        table = blocks(plain, F.col("chosen"), numbers, seen["n"], sizes, scale=scale, positives=positives)
         known = table.agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("asked"), F.coalesce(F.max("part"), F.lit(0)).alias("last")).first()
-        waves = max(1, math.ceil(known["asked"] / WAVE))
+        waves = max(1, math.ceil(known["asked"] / sizes.wave))
         wave = F.floor(F.col("part") * F.lit(waves) / (known["last"] + 1)).cast("int")
         found = table.where("asked > 0").select("block", "n", "dims", "ids", "labels", "flags", "seeds", "vectors", wave.alias("wave"))
         asked = staged(found.mapInArrow(_anchors(numbers), "uid long, id long, label long, dims int, seed long, wave int, vector binary"), "anchors")
-        near = staged(_searched(table, asked, numbers, False, positives), "positives")
+        near = staged(_searched(table, asked, numbers, False, positives, sizes), "positives")
         ranked = F.array_sort(F.collect_list(F.struct("place", "score", F.col("id").alias("positive"))))         # at most ``positives`` each
         near = near.groupBy("uid").agg(ranked.alias("near"))
         window = lambda part: F.transform("near", part)
         opened = asked.join(near, "uid").withColumn("lows", window(lambda p: -_floored(p["score"] * F.lit(-low), 100))).withColumn(
             "highs", window(lambda p: _floored(p["score"] * F.lit(high), 100)))
         opened = staged(opened, "windows")
-        hard = staged(_searched(table, opened.drop("near"), numbers, True, negatives), "negatives")
+        hard = staged(_searched(table, opened.drop("near"), numbers, True, negatives, sizes), "negatives")
         positive = F.col("near")[F.col("window")]
         return hard.select("uid", "window", "score", F.col("id").alias("negative"), "place").join(opened.select("uid", F.col("id").alias("anchor"), "near"), "uid").select(
             F.col("anchor").alias("anchor_id"), positive["positive"].alias("positive_id"), F.col("place").cast("int").alias("rank"),

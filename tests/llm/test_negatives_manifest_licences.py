@@ -44,13 +44,11 @@ def awkward_vectors():
     return rows + rows[20:40] + [(60, rows[61][1], 2)]   # repeated rows, and an id with two vectors
 
 
-@pytest.mark.parametrize("block,region,wave,zones", [(1024, 16, 8192, 512), (16, 2, 20, 3)])
-def test_hard_negatives(spark, monkeypatch, block, region, wave, zones):
-    for name, value in (("BLOCK", block), ("REGION", region), ("WAVE", wave), ("ZONES", zones)):
-        monkeypatch.setattr(negatives, name, value)
+@pytest.mark.parametrize("sizes", [negatives.Sizes(), negatives.Sizes(block=16, region=2, wave=20, zones=3)])
+def test_hard_negatives(spark, sizes):
     rows = awkward_vectors()
     table = spark.createDataFrame([(i, v, c, 1, "x") for i, v, c in rows], "vec_id long, embedding array<float>, label int, block int, region string").repartition(3)
-    got = negatives.mine(table, F.col("vec_id") % 10 == 0)
+    got = negatives.mine(table, F.col("vec_id") % 10 == 0, sizes=sizes)
     assert sorted(map(tuple, got.collect())) == plain_negatives(rows, lambda i: i % 10 == 0)
     assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
 
