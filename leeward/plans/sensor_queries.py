@@ -9,7 +9,7 @@ from leeward.functions.numeric import epoch_s, quantize
 from leeward.operators import alerts as board
 from leeward.operators import late, neighbours, quality, rules
 from leeward.operators.health import device_health as health_of
-from leeward.plans import monitoring
+from leeward.plans import model_band, monitoring  # noqa: F401 (model_band enters v_band)
 from leeward.plans.catalog import q6, query
 from leeward.session import staged
 from leeward.sources.fixtures import ORIGIN_S, Tables, with_views

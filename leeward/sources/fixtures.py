@@ -18,6 +18,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._band: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -27,11 +28,11 @@ class Tables:
             SITES, "site_no long, site_id string, jurisdiction_code string, lat double, lon double")
 
     def band(self) -> DataFrame:
-        hours = self.read("events").selectExpr(
-            "event_id % 10 as cell_id", "cast(floor(floor(event_id / 50) / 60) as bigint) as hour_no").distinct()
-        return hours.selectExpr("cell_id", "hour_no", f"{MEDIAN} as median").selectExpr(
-            "*", "floor((0.05 + median) * 0.56 * 1000000 + 0.5) / 1000000 as p05",
-            "floor((0.05 + median) * 1.78 * 1000000 + 0.5) / 1000000 as p95")
+        """The model's dose band per sensor cell and hour, worked out once per query."""
+        if self._band is None:
+            from leeward.plans.model_band import model_band
+            self._band = model_band(self)
+        return self._band
 
     def readings(self) -> DataFrame:
         """One row per sent reading. One scan: copies are made by exploding, not by a union of scans."""
@@ -39,7 +40,8 @@ class Tables:
             "event_id", "event_id % 50 as dev", "event_id % 10 as cell_id",
             "cast(floor(event_id / 50) as bigint) as m", "cast(floor(floor(event_id / 50) / 60) as bigint) as hour_no",
             "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k", "event_type", "value")
-        dose = base.selectExpr("*", f"{MEDIAN} as median").selectExpr("*", f"{DOSE} as dose")
+        base = base.join(self.band().select("cell_id", "hour_no", "median"), ["cell_id", "hour_no"], "left")
+        dose = base.selectExpr("*", f"{DOSE} as dose")
         rows = dose.selectExpr(
             "event_id", "concat('dev-', lpad(cast(dev as string), 3, '0')) as device_id", "cell_id", "m",
             "case when k < 80 then 0 else k - 80 end as lag_min",
@@ -113,10 +115,11 @@ class Tables:
             "cast(6300000 + (p_partkey * 104729) % 200000 as double) as y_moll", "cast(p_size * 10 as bigint) as people")
 
     def measurements(self) -> DataFrame:
-        return self.read("lineitem").selectExpr(
-            "l_orderkey", "l_linenumber", "l_suppkey % 4 as site_no", "l_partkey as cell_id",
-            "floor(l_extendedprice * 10 + 0.5) / 10000 as obs",
-            "floor(l_extendedprice * 10 * (0.3 + l_quantity / 25) + 0.5) / 10000 as pred",
+        samples = self.read("lineitem").withColumn("site_no", F.expr("l_suppkey % 4")).join(self.sites(), "site_no")
+        return samples.selectExpr(
+            "l_orderkey", "l_linenumber", "site_no", "floor(l_extendedprice * 10 + 0.5) / 10000 as obs",
+            "cast(lat + 0.8 * ((l_partkey * 7919) % 2001 - 1000) / 1000.0 as double) as lat",
+            "cast(lon + 1.0 * ((l_partkey * 104729 + l_suppkey) % 2001 - 1000) / 1000.0 as double) as lon",
             "l_discount > 0.05 as is_wet", "l_shipdate as obs_time")
 
     def requests(self) -> DataFrame:
@@ -125,8 +128,6 @@ class Tables:
             "cast(37 as double) as threshold_kbq_m2")
 
 
-MEDIAN = """case when cell_id >= 8 then cast(0.0 as double)
-                 else cast(0.02 * (1 + (cell_id * 7 + hour_no * 3) % 5) as double) end"""
 DOSE = """(cast(0.05 as double) + median) * (0.75 + 0.005 * k)
           * (case when dev = 7 and m between 60 and 180 then 1 + 0.01 * (m - 60) else 1 end)
           * (case when cell_id = 3 and m between 90 and 120 then 5 else 1 end)"""
@@ -135,15 +136,11 @@ DOSE = """(cast(0.05 as double) + median) * (0.75 + 0.005 * k)
 ALIAS = """case when conv_id % 3 = 0 then concat('CUSTOMER#', lpad(cast((conv_id * 31 + turn) % 200 as string), 9, '0'))
     else concat(' Gdańsk-', cast((conv_id * 7 + turn) % 1200 as string)) end"""
 
+#: ``v_band``, the model's band, is entered by ``plans.model_band``.
 VIEW_SQL = {
     "v_sites": ((), "select site_no, site_id, jurisdiction_code, cast(lat as double) as lat, cast(lon as double) as lon "
                     "from (values " + ", ".join(f"({n}, '{i}', '{j}', {la}, {lo})" for n, i, j, la, lo in SITES)
                 + ") as t(site_no, site_id, jurisdiction_code, lat, lon)"),
-    "v_band": ((), f"""select cell_id, hour_no, median, floor((0.05 + median) * 0.56 * 1000000 + 0.5) / 1000000 as p05,
-             floor((0.05 + median) * 1.78 * 1000000 + 0.5) / 1000000 as p95
-        from (select cell_id, hour_no, {MEDIAN} as median
-              from (select distinct event_id % 10 as cell_id,
-                           cast(floor(floor(event_id / 50) / 60) as bigint) as hour_no from events) c) d"""),
     "v_readings": (("v_band",), f"""
         with b as (
           select event_id, event_id % 50 as dev, event_id % 10 as cell_id, cast(floor(event_id / 50) as bigint) as m,
@@ -206,10 +203,10 @@ VIEW_SQL = {
     "v_pop": ((), """select p_partkey as pop_id, cast(1200000 + (p_partkey * 7919) % 200000 as double) as x_moll,
                cast(6300000 + (p_partkey * 104729) % 200000 as double) as y_moll, cast(p_size * 10 as bigint) as people
         from part"""),
-    "v_measurements": ((), """select l_orderkey, l_linenumber, l_suppkey % 4 as site_no, l_partkey as cell_id,
-               floor(l_extendedprice * 10 + 0.5) / 10000 as obs,
-               floor(l_extendedprice * 10 * (0.3 + l_quantity / 25) + 0.5) / 10000 as pred,
-               l_discount > 0.05 as is_wet, l_shipdate as obs_time from lineitem"""),
+    "v_measurements": (("v_sites",), """select l_orderkey, l_linenumber, s.site_no, floor(l_extendedprice * 10 + 0.5) / 10000 as obs,
+               cast(s.lat + 0.8 * ((l_partkey * 7919) % 2001 - 1000) / 1000.0 as double) as lat,
+               cast(s.lon + 1.0 * ((l_partkey * 104729 + l_suppkey) % 2001 - 1000) / 1000.0 as double) as lon,
+               l_discount > 0.05 as is_wet, l_shipdate as obs_time from lineitem join v_sites s on s.site_no = l_suppkey % 4"""),
     "v_requests": ((), f"""select conv_id * 1000 + turn as request_id, conv_id % 6 as site_no, {ALIAS} as city_alias,
                cast(37 as double) as threshold_kbq_m2 from conversations where role = 'user'"""),
 }
