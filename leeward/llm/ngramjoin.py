@@ -11,7 +11,8 @@ Part sizes follow size classes, and parts that are empty in both sets prove noth
 than the difference can touch, and the rare set with more empty parts than that sends its empty parts too.
 
 Groups of copies are one node. A group of near copies with a third of all documents is cut into blocks of bounded size that
-each find their own links; only documents outside the group's largest component then search the other blocks.
+each find their own links; one document of the group's largest component then searches the other blocks, and after it the documents that
+are still outside.
 
 Null and empty texts have no set, and are linked with nothing. Rows with a null id take no part (null component). Rows
 with one id and different texts are documents of their own. Repeated rows are copies. No rows give no rows.
@@ -300,7 +301,7 @@ def groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col
                    .applyInArrow(_searcher(n, classes), "a long, b long"), "links")
     wide = near.where("blocks > 1")
     if wide.limit(1).count():
-        found = found.union(_across(wide, found, n, classes))
+        found = _across(wide, found, n, classes)
     joined = components(found)
     smallest = (joined.join(first, "node").groupBy("root").agg(F.min("one.id").alias("component_id")))
     of_node = joined.join(smallest, "root").select("node", "component_id")
@@ -321,16 +322,23 @@ def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _across(wide: DataFrame, found: DataFrame, n: int, classes: Classes) -> DataFrame:
-    """Links between blocks: documents outside their group's largest component search the group's other blocks."""
-    label = components(found).withColumnRenamed("root", "label")
-    own = wide.select("root", "block", "blocks", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = own.groupBy("root", "label").count()
-    largest = counts.groupBy("root").agg(F.max(F.struct("count", "label")).alias("m")).select("root", F.col("m.label").alias("most"))
-    asking = own.join(largest, "root").where("label != most").select("node")
-    sent = (wide.join(asking, "node").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .where("to != block").select("root", F.col("to").alias("block"), "node", "text", F.lit(True).alias("asks")))
-    here = wide.select("root", "block", "node", "text", F.lit(False).alias("asks"))
-    return here.union(sent).groupBy("root", "block").applyInArrow(_searcher(n, classes), "a long, b long")
+    """All links of groups in several blocks, from those within blocks.
+
+    First one document of each group's largest component searches the other blocks, which joins their components where the group is one
+    of near copies. Then the documents outside the largest component that is left search them.
+    """
+    own = wide.select("root", "block", "blocks", "node")
+    for one in (True, False):
+        label = components(found).withColumnRenamed("root", "label")
+        labelled = own.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counts = labelled.groupBy("root", "label").count()
+        largest = counts.groupBy("root").agg(F.max(F.struct("count", "label")).alias("m")).select("root", F.col("m.label").alias("most"))
+        asking = labelled.join(largest, "root").where("node = most" if one else "label != most").select("node")
+        sent = (wide.join(asking, "node").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .where("to != block").select("root", F.col("to").alias("block"), "node", "text", F.lit(True).alias("asks")))
+        here = wide.select("root", "block", "node", "text", F.lit(False).alias("asks"))
+        found = found.union(staged(here.union(sent).groupBy("root", "block").applyInArrow(_searcher(n, classes), "a long, b long"), "across"))
+    return found
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
