@@ -169,22 +169,48 @@ def _sender(n: int, classes: Classes, buckets: int):
     return send
 
 
-def least_difference(one: np.ndarray, other: np.ndarray) -> int:
-    """What two sets differ in at least, from their histograms."""
-    if len(one) > len(other):
-        one, other = other, one
-    other = other.astype(np.int64).reshape(-1, len(one)).sum(axis=0)
-    return int(np.abs(other - one).sum())
-
-
-def _near(one: int, others: np.ndarray, sizes: np.ndarray, cells: list[np.ndarray], classes: Classes) -> np.ndarray:
-    """Which sets may be alike to ``one``, by size and by the least difference that the histograms allow."""
-    a, b = sizes[one], sizes[others]
-    near = classes.num * np.maximum(a, b) <= classes.den * np.minimum(a, b)
-    for i in np.flatnonzero(near):
-        far = least_difference(cells[one], cells[others[i]])
-        near[i] = (classes.den + classes.num) * far <= (classes.den - classes.num) * (a + b[i])
-    return near
+class Shapes:
+    """Sizes and histograms of sets, the histograms in one array per number of cells."""
+
+    def __init__(self, sizes: np.ndarray, cells: list[np.ndarray]):
+        self.sizes = sizes
+        self.wide = np.array([len(c) for c in cells], np.int64)
+        self.place = np.zeros(len(cells), np.int64)
+        self.tables = {}
+        for w in np.unique(self.wide).tolist():
+            own = np.flatnonzero(self.wide == w)
+            self.place[own] = np.arange(len(own))
+            self.tables[w] = np.stack([cells[i] for i in own])
+
+    def folded(self, sets: np.ndarray, wide: int) -> np.ndarray:
+        """Histograms of ``sets``, which have ``wide`` cells or more, with ``wide`` cells."""
+        out = np.empty((len(sets), wide), np.int32)
+        for w in np.unique(self.wide[sets]).tolist():
+            own = self.wide[sets] == w
+            out[own] = self.tables[w][self.place[sets[own]]].reshape(-1, w // wide, wide).sum(axis=1, dtype=np.int32)
+        return out
+
+    def least_differences(self, one: int, others: np.ndarray) -> np.ndarray:
+        """What ``one`` and each of ``others`` differ in at least, from their histograms."""
+        out = np.empty(len(others), np.int64)
+        common = np.minimum(self.wide[one], self.wide[others])
+        for w in np.unique(common).tolist():
+            own = common == w
+            out[own] = np.abs(self.folded(others[own], w) - self.folded(np.array([one]), w)).sum(axis=1)
+        return out
+
+    def near(self, one: int, others: np.ndarray, classes: Classes) -> np.ndarray:
+        """Which of ``others`` may be alike to ``one``, by size and by the least difference that the histograms allow."""
+        a, b = self.sizes[one], self.sizes[others]
+        near = classes.num * np.maximum(a, b) <= classes.den * np.minimum(a, b)
+        far = self.least_differences(one, others[near])
+        near[near] = (classes.den + classes.num) * far <= (classes.den - classes.num) * (a + b[near])
+        return near
+
+    def middle(self, sets: np.ndarray) -> int:
+        """The one of ``sets`` whose histogram is closest to their mean, which most near copies of one text lie around."""
+        whole = self.folded(sets, int(self.wide[sets].min()))
+        return int(sets[np.abs(whole - whole.mean(axis=0)).sum(axis=1).argmin()])
 
 
 def _meeter(classes: Classes):
@@ -218,11 +244,11 @@ def _meeter(classes: Classes):
             new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
             keys, rows = keys[new], rows[new]
             first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).astype(np.int64)
-            forest = Forest(len(names))
+            forest, shapes = Forest(len(names)), Shapes(sizes, cells)
             many = np.flatnonzero(np.diff(first) > 1)
             for x in many.tolist():
                 group = rows[first[x]:first[x + 1]]
-                _gather(group, forest, sizes, cells, classes)
+                _gather(group, forest, shapes, classes)
             root = np.array([forest.find(i) for i in range(len(names))])
             child = np.flatnonzero(root != np.arange(len(names)))
             a, b = names[child].view(np.int64), names[root[child]].view(np.int64)
@@ -236,18 +262,18 @@ def _meeter(classes: Classes):
     return meet
 
 
-def _gather(group: np.ndarray, forest: Forest, sizes: np.ndarray, cells: list[np.ndarray], classes: Classes) -> None:
+def _gather(group: np.ndarray, forest: Forest, shapes: Shapes, classes: Classes) -> None:
     """Join the sets of one part hash that may be alike; a set in no one's reach is held against all others."""
-    roots = {forest.find(i) for i in group.tolist()}
-    if len(roots) == 1:
+    if len({forest.find(i) for i in group.tolist()}) == 1:
         return
-    hub, rest = int(group[0]), group[1:]
-    for i in rest[_near(hub, rest, sizes, cells, classes)].tolist():
+    hub = shapes.middle(group)
+    for i in group[shapes.near(hub, group, classes)].tolist():
         forest.join(hub, i)
     own = np.array([forest.find(i) for i in group.tolist()])
-    largest = np.bincount(np.unique(own, return_inverse=True)[1]).argmax()
-    for i in group[own != np.unique(own)[largest]].tolist():
-        for j in group[_near(i, group, sizes, cells, classes)].tolist():
+    roots, place, counts = np.unique(own, return_inverse=True, return_counts=True)
+    largest = counts.argmax()
+    for i in group[place != largest].tolist():
+        for j in group[shapes.near(i, group, classes)].tolist():
             forest.join(i, j)
 
 
