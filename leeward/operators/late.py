@@ -24,12 +24,17 @@ def with_route(df: DataFrame, max_minutes: float = 15.0) -> DataFrame:
 def split_late(df: DataFrame, max_minutes: float = 15.0) -> tuple[DataFrame, DataFrame]:
     """(on time, late). Stateless, so it works on streams and does not depend on batches.
 
-    Rows without a usable timestamp are in neither part; ``with_route`` names them.
+    Rows without a usable timestamp are in neither part; ``without_time`` has them.
     """
     df = with_lag(df, max_minutes)
     return df.filter(holds(~F.col("is_late"))), df.filter(holds(F.col("is_late")))
 
 
+def without_time(df: DataFrame) -> DataFrame:
+    """Readings whose lag cannot be told, with the columns of ``split_late``."""
+    return with_lag(df).filter(F.col("is_late").isNull())
+
+
 def dedup_exact(df: DataFrame, keys=("device_id", "event_time"), prefer=("sent_at", "ingestion_path"),
                 watermark_minutes: int = 15) -> DataFrame:
     """One row per key.
@@ -75,7 +80,13 @@ def union_paths(*frames: DataFrame) -> DataFrame:
 
 
 def clock_disorder(df: DataFrame, slice_seconds: int = 6 * 3600) -> DataFrame:
-    """Flags readings whose event time is before the one that arrived just before it."""
+    """Flags readings whose event time is before the one that arrived just before it.
+
+    Readings without both times have no place in the order: they are not flagged and come before nothing.
+    """
+    timed = F.col("sent_at").isNotNull() & F.col("event_time").isNotNull()
+    rest = df.filter(~timed).withColumn("prev_event_s", F.lit(None).cast("long")).withColumn("is_disordered", F.lit(False))
+    df = df.filter(timed)
     order = [epoch_s(F.col("sent_at")), F.col("event_id"), F.col("ingestion_path")]
     df = with_previous(df, ["device_id"], order, {"prev_event_s": epoch_s(F.col("event_time"))}, slice_seconds)
-    return df.withColumn("is_disordered", holds(epoch_s(F.col("event_time")) < F.col("prev_event_s")))
+    return df.withColumn("is_disordered", holds(epoch_s(F.col("event_time")) < F.col("prev_event_s"))).unionByName(rest)

@@ -80,7 +80,7 @@ def rules_by_firmware(t: Tables) -> DataFrame:
     cast(min(epoch_us(event_time)) // 1000000 as bigint) as first_s from v_readings group by 1"""))
 def first_and_latest(t: Tables) -> DataFrame:
     at = ["event_time", "sent_at", "ingestion_path", "event_id"]
-    rows = t.readings().select("device_id", *at)
+    rows = t.readings().where("event_time is not null").select("device_id", *at)
     last = latest(rows, ["device_id"], at).select("device_id", epoch_s(F.col("event_time")).alias("last_s"))
     first = first_arrival(rows, ["device_id"], at).select("device_id", epoch_s(F.col("event_time")).alias("first_s"))
     return last.join(first, "device_id")

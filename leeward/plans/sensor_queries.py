@@ -90,8 +90,9 @@ def _sql(body: str, steps: dict[str, str] = STEPS, views: str = VIEWS) -> str:
 @query(_sql(f"select event_id, device_id, ingestion_path, event_s, sent_s, {q6('lag_minutes')} as lag_minutes, route from routed"))
 def late_split(t: Tables) -> DataFrame:
     on_time, behind = late.split_late(t.readings(), LIMITS.max_lag_minutes)
-    both = on_time.withColumn("route", F.lit("on_time")).unionByName(behind.withColumn("route", F.lit("late")))
-    return both.select("event_id", "device_id", "ingestion_path", event().alias("event_s"), sent().alias("sent_s"),
+    untimed = late.without_time(t.readings())
+    parts = [part.withColumn("route", F.lit(name)) for name, part in (("on_time", on_time), ("late", behind), ("bad_timestamp", untimed))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("event_id", "device_id", "ingestion_path", event().alias("event_s"), sent().alias("sent_s"),
                        quantize(F.col("lag_minutes")).alias("lag_minutes"), "route")
 
 
@@ -189,8 +190,8 @@ def warmup(t: Tables) -> DataFrame:
 
 @query(_sql("""select device_id, sent_s, event_id, ingestion_path, event_s, prev_event_s,
     cast(coalesce(event_s < prev_event_s, false) as bigint) as is_disordered from (
-    select *, lag(event_s) over (partition by device_id order by sent_s, event_id, ingestion_path) as prev_event_s
-    from routed)"""))
+    select *, case when route <> 'bad_timestamp' then lag(event_s) over (partition by device_id, route = 'bad_timestamp'
+      order by sent_s, event_id, ingestion_path) end as prev_event_s from routed)"""))
 def clock_disorder(t: Tables) -> DataFrame:
     out = late.clock_disorder(t.readings())
     return out.select("device_id", sent().alias("sent_s"), "event_id", "ingestion_path", event().alias("event_s"),

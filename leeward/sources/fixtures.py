@@ -44,7 +44,7 @@ class Tables:
         dose = base.selectExpr("*", f"{DOSE} as dose")
         rows = dose.selectExpr(
             "event_id", "concat('dev-', lpad(cast(dev as string), 3, '0')) as device_id", "cell_id", "m",
-            "case when k < 80 then 0 else k - 80 end as lag_min",
+            f"{LAG} as lag_min",
             """case when event_type = 'error' and k < 5 then null
                     when event_type = 'click' and k = 99 then cast(5000 as double)
                     when dev = 11 and m between 30 and 44 then cast(0.1234 as double)
@@ -60,8 +60,8 @@ class Tables:
         return sent.selectExpr(
             "event_id", "device_id", "cell_id", "copy.path as ingestion_path", "dose_rate_usv_h", "wind_speed_ms",
             "battery", "detector_temp_c",
-            f"timestamp_seconds({ORIGIN_S} + 60 * m + copy.shift_s) as event_time",
-            f"timestamp_seconds({ORIGIN_S} + 60 * (m + lag_min + copy.more) + copy.shift_s) as sent_at")
+            f"case when {NO_EVENT_TIME} then null else timestamp_seconds({ORIGIN_S} + 60 * m + copy.shift_s) end as event_time",
+            f"case when {NO_SENT_AT} then null else timestamp_seconds({ORIGIN_S} + 60 * (m + lag_min + copy.more) + copy.shift_s) end as sent_at")
 
     def device_cdc(self) -> DataFrame:
         orders = self.read("orders").selectExpr(
@@ -128,6 +128,10 @@ class Tables:
             "cast(37 as double) as threshold_kbq_m2")
 
 
+# A device of five loses its connection every four hours for 5 to 45 minutes, and resends what it kept at one moment.
+LAG = """case when dev % 5 = 4 and m % 240 >= 60 and m % 240 < 65 + (dev * 7) % 41 then 65 + (dev * 7) % 41 - m % 240
+         when k < 80 then 0 else k - 80 end"""
+NO_EVENT_TIME, NO_SENT_AT = "event_id % 1013 = 7", "event_id % 1009 = 5"
 DOSE = """(cast(0.05 as double) + median) * (0.75 + 0.005 * k)
           * (case when dev = 7 and m between 60 and 180 then 1 + 0.01 * (m - 60) else 1 end)
           * (case when cell_id = 3 and m between 90 and 120 then 5 else 1 end)"""
@@ -150,7 +154,7 @@ VIEW_SQL = {
           from b join v_band v on v.cell_id = b.cell_id and v.hour_no = cast(floor(m / 60) as bigint)),
         r as (
           select event_id, concat('dev-', lpad(cast(dev as string), 3, '0')) as device_id, cell_id, m, k,
-                 case when k < 80 then 0 else k - 80 end as lag_min,
+                 {LAG} as lag_min,
                  case when event_type = 'error' and k < 5 then null
                       when event_type = 'click' and k = 99 then cast(5000 as double)
                       when dev = 11 and m between 30 and 44 then cast(0.1234 as double)
@@ -160,6 +164,8 @@ VIEW_SQL = {
                  cast(k as double) as battery,
                  cast(case when dev % 2 = 1 then (130 + k) / 10 end as double) as detector_temp_c
           from d)
+        select * replace (case when {NO_EVENT_TIME} then null else event_time end as event_time,
+            case when {NO_SENT_AT} then null else sent_at end as sent_at) from (
         select event_id, device_id, cell_id, 'wifi' as ingestion_path, dose_rate_usv_h, wind_speed_ms, battery,
                detector_temp_c, timestamp '2011-03-14 00:00:00' + interval '1' minute * m as event_time,
                timestamp '2011-03-14 00:00:00' + interval '1' minute * (m + lag_min) as sent_at from r
@@ -170,7 +176,7 @@ VIEW_SQL = {
         union all
         select event_id, device_id, cell_id, 'lte', dose_rate_usv_h, wind_speed_ms, battery, detector_temp_c,
                timestamp '2011-03-14 00:00:02' + interval '1' minute * m,
-               timestamp '2011-03-14 00:00:02' + interval '1' minute * (m + lag_min + 1) from r where event_id % 41 = 0"""),
+               timestamp '2011-03-14 00:00:02' + interval '1' minute * (m + lag_min + 1) from r where event_id % 41 = 0)"""),
     "v_device_cdc": ((), " union all ".join(f"""
         select concat('dev-', lpad(cast(o_custkey % 500 as string), 3, '0')) as device_id, o_orderkey as seq,
                case when o_orderstatus = 'F' and o_orderpriority = '5-LOW' then 'DELETE' else 'UPDATE' end as op,

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from leeward import schemas
 from leeward.config import Limits
+from leeward.functions.numeric import holds
 from leeward.operators.late import dedup_exact, with_route
 from leeward.operators.rules import apply_rules, reading_rules
 
@@ -48,6 +49,33 @@ def write_bronze(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def stream_bronze(stream: DataFrame) -> DataFrame:
+    """What the raw table keeps of each landed row: all of it, and a number of its own by which later tables are held against it.
+
+    The number is drawn when the row is written; the sink commits a batch once, so a row has one number however often its batch is tried.
+    """
+    return stream.withColumn("bronze_id", F.expr("uuid()"))
+
+
+def account(bronze: DataFrame, routed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Every row of ``bronze`` with exactly one ``route``, by holding it against what the stream ``routed``.
+
+    clean, refused, late, bad_timestamp: as routed. duplicate: another copy of the reading stands for it, the one that was sent first as
+    in batch. behind_watermark: on time by its own lag, but its file landed after the deduplication had moved on, so no copy
+    of it came through; it is a reading like any other and carries its ``reasons``. The choice per reading is a merged minimum.
+    """
+    key = ["device_id", "event_time"]
+    came = routed.select("bronze_id", F.lit(True).alias("came"))
+    rows = apply_rules(with_route(bronze.join(came, "bronze_id", "left"), limits.max_lag_minutes), reading_rules(limits))
+    chosen = rows.filter("route = 'on_time'").groupBy(*key).agg(
+        F.min(F.struct("sent_at", "ingestion_path", "bronze_id")).alias("first"), F.bool_or(holds(F.col("came"))).alias("through"))
+    rows = rows.join(chosen.select(F.col("first.bronze_id").alias("bronze_id"), "through"), "bronze_id", "left")
+    passed = F.when(F.size("reasons") == 0, "clean").otherwise("refused")
+    route = (F.when(F.col("route") != "on_time", F.col("route")).when(F.col("through").isNull(), "duplicate")
+             .when(~F.col("through"), "behind_watermark").otherwise(passed))
+    return rows.withColumn("route", route).drop("came", "through")
+
+
 def routed(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Every reading with its destination in ``route``: clean, refused, late or bad_timestamp.
 
@@ -55,9 +83,17 @@ def routed(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
     readings only and is bounded by the watermark.
     """
     df = apply_rules(with_route(stream, limits.max_lag_minutes), reading_rules(limits))
-    on_time = dedup_exact(df.filter("route = 'on_time'"), watermark_minutes=limits.dedup_watermark_minutes)
-    on_time = on_time.withColumn("route", F.when(F.size("reasons") == 0, "clean").otherwise("refused"))
-    return on_time.unionByName(df.filter("route <> 'on_time'"))
+    return _once(df, limits).unionByName(df.filter("route <> 'on_time'"))
+
+
+def on_time_once(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The part of ``routed`` that keeps state: one row per on-time reading, clean or refused."""
+    return _once(apply_rules(with_route(stream, limits.max_lag_minutes), reading_rules(limits)), limits)
+
+
+def _once(df: DataFrame, limits: Limits) -> DataFrame:
+    once = dedup_exact(df.filter("route = 'on_time'"), watermark_minutes=limits.dedup_watermark_minutes)
+    return once.withColumn("route", F.when(F.size("reasons") == 0, "clean").otherwise("refused"))
 
 
 def write_routed(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -91,19 +127,6 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped; the control figure of the deduplication, expected to be 0."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-
-
-def record_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per finished batch, for the metrics table."""
-    rows = [(p["name"], p["batchId"], p["numInputRows"],
-             sum(op["numRowsTotal"] for op in p["stateOperators"]),
-             sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "query string, batch_id long, input_rows long, state_rows long, dropped_rows long")
-
-
 def clean_share_stream(df: DataFrame, window_minutes: int = 60, delay_minutes: int = 60) -> DataFrame:
     """Share of clean readings per tumbling window, emitted once the watermark has passed it.
 

@@ -11,6 +11,7 @@ from leeward.plans.monitoring import split_readings
 from leeward.session import fresh_path, make_folder
 from leeward.sources.fixtures import Tables
 from leeward.streaming import ingest, state
+from leeward.streaming.metrics import BatchMetrics
 from test_sensor_dq import frame, reading
 
 SCHEMA = schemas._s(("ingestion_path", schemas.S), ("cell_id", schemas.L), *[(f.name, f.dataType) for f in schemas.READING])
@@ -32,8 +33,10 @@ def test_boundary_lag_survives_the_watermark(spark):
     land(frame(spark, [reading("a", at=3600)]), f"{root}/landing")
     ingest.run_available(writer)
     land(frame(spark, [reading("b", at=2700, lag=900), reading("b", at=2700, lag=900), reading("c", at=2600, lag=1000)]), f"{root}/landing")
-    query = ingest.run_available(writer)
-    assert ingest.dropped_rows(query) == 0
+    figures = BatchMetrics(spark, f"{root}/metrics")
+    figures.finished(ingest.run_available(writer))
+    figures.close()
+    assert figures.table().agg(F.sum("dropped_rows")).first()[0] == 0
     assert rows(spark.read.parquet(f"{root}/routed"), "device_id", "route") == [("a", "clean"), ("b", "clean"), ("c", "late")]
 
 
@@ -97,11 +100,45 @@ def test_health_batches_equal_one_batch(spark):
     assert whole.filter("n_quarantined > 0").count() > 0
 
 
-def test_metrics_rows(spark):
+def test_every_batch_has_a_row(spark):
     root, writer = started(spark)
-    land(frame(spark, [reading("a"), reading("b")]), f"{root}/landing")
-    metrics = ingest.record_metrics(spark, ingest.run_available(writer))
-    assert metrics.agg(F.sum("input_rows")).first()[0] >= 2 and metrics.agg(F.sum("dropped_rows")).first()[0] == 0
+    figures = BatchMetrics(spark, f"{root}/metrics")
+    try:
+        for at in (3600, 7200, 100):                    # the last file lands behind the watermark
+            land(frame(spark, [reading("a", at=at), reading("b", at=at)]), f"{root}/landing")
+            figures.finished(ingest.run_available(writer))
+            figures.finished(ingest.run_available(writer))          # nothing new: no row, or the same batch again
+    finally:
+        figures.close()
+    table = figures.table()
+    assert table.where("input_rows > 0").count() == 3 and table.groupBy("query_id", "batch_id").count().where("count > 1").count() == 0
+    assert table.agg(F.sum("input_rows"), F.sum("dropped_rows")).first() == (6, 2)
+
+
+def test_accounts_hold_every_row_once(spark):
+    """Files out of order, copies, a missing time: every landed row has one route, and readings behind the watermark are told as such."""
+    root = fresh_path(spark, "accounts")
+    for folder in ("landing", "bronze"):
+        make_folder(spark, f"{root}/{folder}")
+    landed = ingest.stream_bronze(ingest.stream_readings(spark, f"{root}/landing", SCHEMA, None))
+    to_bronze = ingest.write_bronze(landed, f"{root}/bronze", f"{root}/c1")
+    stream = ingest.routed(spark.readStream.schema(landed.schema).parquet(f"{root}/bronze")).drop("is_late")
+    to_routes = ingest.write_routed(stream, f"{root}/routed", f"{root}/c2")
+    slices = ([reading("a", at=600), reading("a", at=600)], [reading("a", at=7200), reading("b", at=7200, lag=1000)],
+              [reading("a", at=3600, lag=60), reading("a", at=3600), reading("c", at=3600, wind=99.0), reading("d", at=7000), reading("a", at=7200, lag=120)])
+    for part in slices:
+        land(frame(spark, part), f"{root}/landing")
+        ingest.run_available(to_bronze)
+        ingest.run_available(to_routes)
+    land(frame(spark, [reading("e", at=7100)]).withColumn("sent_at", F.lit(None).cast("timestamp")), f"{root}/landing")
+    ingest.run_available(to_bronze)
+    ingest.run_available(to_routes)
+    found = ingest.account(spark.read.parquet(f"{root}/bronze"), spark.read.parquet(f"{root}/routed"))
+    got = rows(found, "device_id", F.unix_seconds("event_time"), F.unix_seconds("sent_at"), "route")
+    assert got == sorted([("a", 600, 600, "clean"), ("a", 600, 600, "duplicate"), ("a", 7200, 7200, "clean"), ("b", 7200, 8200, "late"),
+                          ("a", 3600, 3660, "duplicate"), ("a", 3600, 3600, "behind_watermark"), ("c", 3600, 3600, "behind_watermark"),
+                          ("d", 7000, 7000, "clean"), ("a", 7200, 7320, "duplicate"), ("e", 7100, None, "bad_timestamp")], key=str)
+    assert [r.reasons for r in found.where("device_id = 'c'").collect()] == [["wind_physical"]]
 
 
 def test_hour_of_late_resends_is_counted_whole(spark):
