@@ -38,43 +38,3 @@ def device_health(readings: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return devices.join(last, "device_id", "left").select(
         "device_id", "n_readings", "n_bad", F.coalesce("last.state", F.lit("healthy")).alias("state"),
         F.col("last.at_s").alias("since_s"), F.coalesce("n_quarantined", F.lit(0)).alias("n_quarantined"))
-
-
-def advance_health(state: DataFrame, batch: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """State table after one micro-batch.
-
-    ``state``: (device_id, state, since_s, run_bad, run_n, last_s). ``batch``: readings with ``bad``,
-    all later than the device's ``last_s``. The series a device was in before the batch goes on
-    in it: its length is added to the first series of the batch if that has the same outcome.
-    """
-    order = [epoch_s(F.col("event_time")), F.col("ingestion_path")]
-    rows = batch.select("device_id", "event_time", "ingestion_path", "bad")
-    rows = runs_of_value(rows, ["device_id"], order, F.col("bad"), limits.slice_seconds)
-    first = rows.groupBy("device_id").agg(F.min("run_start").alias("first_start"))
-    before = state.select("device_id", F.col("state").alias("old_state"), F.col("since_s").alias("old_since"),
-                          "run_bad", "run_n")
-    rows = rows.join(first, "device_id").join(before, "device_id", "left")
-    goes_on = (F.col("run_start") == F.col("first_start")) & F.coalesce(F.col("run_bad") == F.col("bad"), F.lit(False))
-    rows = rows.withColumn("run_len", F.col("run_len") + F.when(goes_on, F.col("run_n")).otherwise(0))
-    asks = F.when(F.col("bad") & (F.col("run_len") == limits.bad_run), "quarantined").when(
-        ~F.col("bad") & (F.col("run_len") == limits.good_run), "healthy")
-    rows = rows.withColumn("asks", asks).withColumn("at_s", epoch_s(F.col("event_time")))
-
-    asked = rows.filter(F.col("asks").isNotNull())
-    asked = with_previous(asked.select("device_id", "at_s", "ingestion_path", "asks", "old_state"), ["device_id"],
-                          [F.col("at_s"), F.col("ingestion_path")], {"before": F.col("asks")}, limits.slice_seconds)
-    effective = F.col("asks") != F.coalesce("before", "old_state", F.lit("healthy"))
-    changes = asked.filter(effective).groupBy("device_id").agg(F.max(F.struct("at_s", "asks")).alias("change"))
-    tail = rows.groupBy("device_id").agg(F.max(F.struct("at_s", "ingestion_path", "bad", "run_len")).alias("tail"))
-
-    joined = state.join(tail, "device_id", "full_outer").join(changes, "device_id", "left")
-    return joined.select(
-        "device_id",
-        F.coalesce("change.asks", "state", F.lit("healthy")).alias("state"),
-        F.coalesce("change.at_s", "since_s").alias("since_s"),
-        F.coalesce("tail.bad", "run_bad").alias("run_bad"),
-        F.coalesce("tail.run_len", "run_n").cast("long").alias("run_n"),
-        F.coalesce("tail.at_s", "last_s").alias("last_s"))
-
-
-HEALTH_SCHEMA = "device_id string, state string, since_s long, run_bad boolean, run_n long, last_s long"

@@ -37,6 +37,14 @@ def refreshed(t: Tables) -> DataFrame:
     return monitoring.refresh_quality(t.readings(), t.device_pos(), t.band(), ORIGIN_S, LIMITS)
 
 
+def outcomes(t: Tables) -> DataFrame:
+    """Good and bad readings of every device: by their quality, and those that a hard rule refused."""
+    key = ["device_id", "event_time", "sent_at", "ingestion_path"]
+    judged = refreshed(t).select(*key, F.col("quality_status").isin("frozen", "drift_suspect").alias("bad"))
+    refused = monitoring.split_readings(t.readings(), LIMITS).refused.select(*key, F.lit(True).alias("bad"))
+    return staged(judged.unionByName(refused), "outcomes")
+
+
 # ---- SQL steps shared by the independent side ----
 ROUTED = """select r.*, cast(epoch_us(event_time) // 1000000 as bigint) as event_s,
     cast(epoch_us(sent_at) // 1000000 as bigint) as sent_s,
@@ -330,30 +338,29 @@ def dq_metrics(t: Tables) -> DataFrame:
         "refused_share", quantize(F.col("refused_share")))
 
 
+HEALTH = HISTORY | {
+    "outcomes": """select device_id, event_s, ingestion_path, false as bad from judged where quality_status in ('clean', 'warmup')
+        union all select device_id, event_s, ingestion_path, true from judged where quality_status in ('frozen', 'drift_suspect')
+        union all select device_id, event_s, ingestion_path, true from once where reasons <> ''""",
+    "turns": """select *, case when bad = lag(bad) over (partition by device_id order by event_s, ingestion_path)
+        then 0 else 1 end as turn from outcomes""",
+    "series": "select *, sum(turn) over (partition by device_id order by event_s, ingestion_path) as series_no from turns",
+    "counted": """select *, row_number() over (partition by device_id, series_no order by event_s, ingestion_path) as n
+        from series""",
+    "asked": """select device_id, event_s as at_s, ingestion_path, case when bad then 'quarantined' else 'healthy' end as state
+        from counted where (bad and n = 3) or (not bad and n = 5)""",
+    "changes": """select * from (select *, lag(state, 1, 'healthy') over (partition by device_id
+        order by at_s, ingestion_path) as before from asked) where state <> before"""}
+
+
 @query(_sql("""select d.device_id, d.n_readings, d.n_bad, coalesce(l.state, 'healthy') as state, l.since_s,
     coalesce(l.n_quarantined, 0) as n_quarantined from
     (select device_id, count(*) as n_readings, count(*) filter (bad) as n_bad from outcomes group by 1) d left join
     (select device_id, arg_max(state, at_s) as state, max(at_s) as since_s,
        count(*) filter (state = 'quarantined') as n_quarantined from changes group by 1) l on l.device_id = d.device_id""",
-    HISTORY | {
-        "outcomes": """select device_id, event_s, ingestion_path, false as bad from judged where quality_status in ('clean', 'warmup')
-            union all select device_id, event_s, ingestion_path, true from judged where quality_status in ('frozen', 'drift_suspect')
-            union all select device_id, event_s, ingestion_path, true from once where reasons <> ''""",
-        "turns": """select *, case when bad = lag(bad) over (partition by device_id order by event_s, ingestion_path)
-            then 0 else 1 end as turn from outcomes""",
-        "series": "select *, sum(turn) over (partition by device_id order by event_s, ingestion_path) as series_no from turns",
-        "counted": """select *, row_number() over (partition by device_id, series_no order by event_s, ingestion_path) as n
-            from series""",
-        "asked": """select device_id, event_s as at_s, ingestion_path, case when bad then 'quarantined' else 'healthy' end as state
-            from counted where (bad and n = 3) or (not bad and n = 5)""",
-        "changes": """select * from (select *, lag(state, 1, 'healthy') over (partition by device_id
-            order by at_s, ingestion_path) as before from asked) where state <> before"""}))
+    HEALTH))
 def device_health(t: Tables) -> DataFrame:
-    parts = monitoring.split_readings(t.readings(), LIMITS)
-    judged = refreshed(t).select("device_id", "event_time", "ingestion_path",
-                                 F.col("quality_status").isin("frozen", "drift_suspect").alias("bad"))
-    refused = parts.refused.select("device_id", "event_time", "ingestion_path", F.lit(True).alias("bad"))
-    return health_of(staged(judged.unionByName(refused), "outcomes"), LIMITS)
+    return health_of(outcomes(t), LIMITS)
 
 
 @query(_sql(f"""select g.device_id, g.minute, {q6("sum(n.v) / count(n.v)")} as dose, count(n.v) as n_neighbours

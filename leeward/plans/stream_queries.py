@@ -16,10 +16,10 @@ from leeward.config import Limits
 from leeward.functions.numeric import epoch_s, quantize
 from leeward.plans.catalog import q6, query
 from leeward.plans.registry_queries import VERSIONS
-from leeward.plans.sensor_queries import LIMITS, STEPS
+from leeward.plans.sensor_queries import HEALTH, HISTORY, LIMITS, STEPS, outcomes
 from leeward.session import fresh_path, make_folder, staged
-from leeward.sources.fixtures import ORIGIN_S, Tables, with_views
-from leeward.streaming import ingest, metrics, state
+from leeward.sources.fixtures import Tables, with_views
+from leeward.streaming import health, ingest, metrics, state
 
 SENT = StructType([StructField("event_id", LongType()), StructField("cell_id", LongType()),
                    StructField("ingestion_path", StringType()), *schemas.READING.fields])
@@ -163,37 +163,30 @@ def stream_scd2(t: Tables) -> DataFrame:
     return table.read().select("device_id", "start_seq", "end_seq", "firmware", "jurisdiction_code")
 
 
-HEALTH_STEPS = STEPS | {
-    "outcomes": "select device_id, event_s, ingestion_path, reasons <> '' or cell_id = 3 and (event_s - 1300060800) // 60 between 90 and 120 as bad from once",
-    "turns": """select *, case when bad = lag(bad) over (partition by device_id order by event_s, ingestion_path)
-        then 0 else 1 end as turn from outcomes""",
-    "series": "select *, sum(turn) over (partition by device_id order by event_s, ingestion_path) as series_no from turns",
-    "counted": """select *, row_number() over (partition by device_id, series_no order by event_s, ingestion_path) as n from series""",
-    "asked": """select device_id, event_s as at_s, ingestion_path, case when bad then 'quarantined' else 'healthy' end as state
-        from counted where (bad and n = 3) or (not bad and n = 5)""",
-    "changes": """select * from (select *, lag(state, 1, 'healthy') over (partition by device_id
-        order by at_s, ingestion_path) as before from asked) where state <> before"""}
+# The state machine has taken what the last watermark passed: all but the last quarter of an hour and a second.
+HEALTH_STEPS = HEALTH | {
+    "all_outcomes": HEALTH["outcomes"],
+    "outcomes": "select * from all_outcomes where event_s <= (select max(event_s) - 901 from all_outcomes)"}
+HEALTH_STEPS = {name: HEALTH_STEPS[name] for name in [*[n for n in HEALTH if n in HISTORY], "all_outcomes", "outcomes", *[n for n in HEALTH if n not in HISTORY and n != "outcomes"]]}
 
 
-@query(with_views("v_readings", """select d.device_id, coalesce(c.state, 'healthy') as state, c.since_s, d.last_s, d.run_n from
+@query(with_views("v_readings v_device_pos", """select d.device_id, coalesce(c.state, 'healthy') as state, c.since_s, d.last_s, d.run_n from
     (select device_id, max(event_s) as last_s, arg_max(n, event_s) as run_n from counted group by 1) d left join
     (select device_id, arg_max(state, at_s) as state, max(at_s) as since_s from changes group by 1) c on c.device_id = d.device_id""", HEALTH_STEPS))
 def stream_health(t: Tables) -> DataFrame:
-    """Readings judged by the hard rules, and one cell's devices bad for half an hour, in order of event time."""
-    from leeward.plans.monitoring import split_readings
+    """Outcomes of the quality rules land as their readings were sent, so that batches overlap in event time."""
     spark = t.spark
     root = landing_root(spark, "health")
-    parts = split_readings(t.readings(), LIMITS)
-    rows = parts.clean.select("device_id", "cell_id", "event_time", "ingestion_path", F.lit(False).alias("refused")).unionByName(
-        parts.refused.select("device_id", "cell_id", "event_time", "ingestion_path", F.lit(True).alias("refused")))
-    minute = F.floor((epoch_s(F.col("event_time")) - F.lit(ORIGIN_S)) / 60)
-    rows = rows.withColumn("bad", F.col("refused") | ((F.col("cell_id") == 3) & minute.between(90, 120)))
-    rows = staged(rows.select("device_id", "event_time", "ingestion_path", "bad"), "outcomes")
-    write, table = state.health_writer(spark, root, LIMITS)
-    stream = spark.readStream.schema(rows.schema).json(f"{root}/landing")
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
-    in_slices(rows, epoch_s(F.col("event_time")), f"{root}/landing", lambda: ingest.run_available(writer))
-    return table.read().select("device_id", "state", "since_s", "last_s", "run_n")
+    rows = outcomes(t)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", health.ROCKSDB)
+    try:
+        emitted = health.health_stream(spark.readStream.schema(rows.schema).json(f"{root}/landing"), LIMITS)
+        writer = ingest.write_bronze(emitted, f"{root}/health", f"{root}/checkpoint")
+        in_slices(rows, epoch_s(F.col("sent_at")), f"{root}/landing", lambda: ingest.run_available(writer))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return health.current_health(spark.read.schema(emitted.schema).parquet(f"{root}/health"))
 
 
 @query(with_views("v_readings", f"""select event_s // 3600 * 3600 as window_s, count(*) as n_readings, count(*) filter (route = 'on_time' and reasons = '') as n_clean,

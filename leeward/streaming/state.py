@@ -1,4 +1,4 @@
-"""Tables a stream keeps up to date batch by batch: device versions and device health.
+"""The table a stream keeps up to date batch by batch: device versions.
 
 Version ``batch_id + 1`` of a table is always computed from the newest older version, so a batch
 that is retried after a failure starts from the same state and replaces its own result.
@@ -6,10 +6,8 @@ that is retried after a failure starts from the same state and replaces its own
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from leeward.config import Limits
-from leeward.operators.health import HEALTH_SCHEMA, advance_health
 from leeward.operators.registry import scd2
 from leeward.sources.tables import VersionedTable
 
@@ -34,15 +32,3 @@ def registry_writer(spark: SparkSession, root: str, key: str = "device_id", seq:
             rebuilt = before.join(touched, key, "left_anti").unionByName(rebuilt)
         table.overwrite(rebuilt, batch_id + 1)
     return write, table
-
-
-def health_writer(spark: SparkSession, root: str, limits: Limits = Limits()):
-    """``foreachBatch`` writer that keeps one health row per device."""
-    table = VersionedTable(spark, f"{root}/device_health")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = table.before(batch_id + 1)
-        if before is None:
-            before = batch.sparkSession.createDataFrame([], HEALTH_SCHEMA)
-        table.overwrite(advance_health(before, batch, limits), batch_id + 1)
-    return write, table

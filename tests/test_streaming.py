@@ -10,7 +10,7 @@ from leeward.operators.registry import scd2
 from leeward.plans.monitoring import split_readings
 from leeward.session import fresh_path, make_folder
 from leeward.sources.fixtures import Tables
-from leeward.streaming import ingest, state
+from leeward.streaming import health, ingest, state
 from leeward.streaming.metrics import BatchMetrics
 from test_sensor_dq import frame, reading
 
@@ -86,18 +86,29 @@ def test_registry_batches_out_of_order_and_retried(spark):
     assert rows(table.read(), *cols) == rows(scd2(feed), *cols)
 
 
-def test_health_batches_equal_one_batch(spark):
-    data = [(f"d{d}", 60 * i, (i * (d + 3) // 5) % 4 == 0 or (i // (7 + d)) % 3 == 1) for d in range(4) for i in range(90)]
-    df = spark.createDataFrame(data, "device_id string, s long, bad boolean").withColumn(
+def test_overlapping_health_batches_equal_one_batch(spark):
+    """Outcomes land up to a quarter of an hour late, in batches that overlap in event time; the state is that of the ordered series."""
+    data = [(f"d{d}", 60 * i, (i * (d + 3) // 5) % 4 == 0 or (i // (7 + d)) % 3 == 1, 60 * i + (i * 7919 % 16) * 60) for d in range(4) for i in range(90)]
+    df = spark.createDataFrame(data, "device_id string, s long, bad boolean, sent long").withColumn(
         "event_time", F.timestamp_seconds("s")).withColumn("ingestion_path", F.lit("wifi"))
-    limits = Limits(slice_seconds=600)
-    write, table = state.health_writer(spark, fresh_path(spark, "health"), limits)
-    for batch_id, (low, high) in enumerate(((0, 1000), (1000, 1010), (1010, 3333), (3333, 9999))):
-        for _ in range(2 if batch_id == 2 else 1):
-            write(df.filter((F.col("s") >= low) & (F.col("s") < high)), batch_id)
-    whole = device_health(df, limits)
-    assert rows(table.read(), "device_id", "state", "since_s") == rows(whole, "device_id", "state", "since_s")
-    assert whole.filter("n_quarantined > 0").count() > 0
+    root = fresh_path(spark, "health")
+    make_folder(spark, f"{root}/landing")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", health.ROCKSDB)
+    try:
+        columns = ["device_id", "event_time", "ingestion_path", "bad"]
+        emitted = health.health_stream(spark.readStream.schema(df.select(*columns).schema).json(f"{root}/landing"))
+        writer = ingest.write_bronze(emitted, f"{root}/health", f"{root}/checkpoint")
+        for low, high in ((0, 2000), (2000, 4000), (4000, 99999)):
+            df.where((F.col("sent") >= low) & (F.col("sent") < high)).select(*columns).write.mode("append").json(f"{root}/landing")
+            ingest.run_available(writer)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    seen = df.where(F.col("s") <= 60 * 89 - 901)
+    whole = device_health(seen, Limits(slice_seconds=600))
+    got = health.current_health(spark.read.parquet(f"{root}/health"))
+    assert rows(got, "device_id", "state", "since_s") == rows(whole, "device_id", "state", "since_s")
+    assert {r.last_s for r in got.collect()} == {seen.agg(F.max("s")).first()[0]} and whole.filter("n_quarantined > 0").count() > 0
 
 
 def test_every_batch_has_a_row(spark):
@@ -112,7 +123,7 @@ def test_every_batch_has_a_row(spark):
         figures.close()
     table = figures.table()
     assert table.where("input_rows > 0").count() == 3 and table.groupBy("query_id", "batch_id").count().where("count > 1").count() == 0
-    assert table.agg(F.sum("input_rows"), F.sum("dropped_rows")).first() == (6, 2)
+    assert table.agg(F.sum("input_rows"), F.sum("dropped_rows")).first() == (12, 2)      # both branches of the routed stream read the file
 
 
 def test_accounts_hold_every_row_once(spark):
