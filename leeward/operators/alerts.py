@@ -64,6 +64,18 @@ def device_counts(readings: DataFrame, by: list[str], approx: bool = False) -> D
                                      count(F.col("cell_id")).alias("n_cells"), F.count(F.lit(1)).alias("n_readings"))
 
 
+def hourly_sketches(readings: DataFrame, log2_size: int = 12) -> DataFrame:
+    """One mergeable distinct-count sketch of the devices per cell and hour, a few kilobytes however many readings there are."""
+    hour = F.floor(F.unix_seconds("event_time") / 3600).cast("long")
+    return readings.where("event_time is not null").groupBy("cell_id", hour.alias("hour")).agg(
+        F.hll_sketch_agg("device_id", F.lit(log2_size)).alias("devices"), F.count(F.lit(1)).alias("n_readings"))
+
+
+def distinct_devices(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct devices of any range of stored sketches, by uniting them: no reading is read again."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("devices")).alias("n_devices"), F.sum("n_readings").alias("n_readings"))
+
+
 def expected_dose(band: DataFrame) -> DataFrame:
     """Median per cell and hour, the export a reading source compares itself with."""
     return band.select("cell_id", "hour_no", F.col("median").alias("expected_dose"))

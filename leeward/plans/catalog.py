@@ -22,7 +22,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("sensor_queries", "registry_queries", "weather_queries", "exposure_queries", "validation_queries",
+_MODULES = ("sensor_queries", "registry_queries", "weather_queries", "exposure_queries", "validation_queries", "landing_queries",
             "governance_queries", "audit_queries", "stream_queries")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leeward import schemas
 from leeward.config import Settings
 from leeward.functions.numeric import holds
+from leeward.session import staged
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
@@ -50,6 +51,24 @@ def _csv(spark: SparkSession, path: str, schema: StructType, sep: str = ",") ->
                            .option("mode", "PERMISSIVE").csv(path))
 
 
+BAD = "_bad_line"
+
+
+def with_rejects(spark: SparkSession, path: str, schema: StructType, sep: str | None = ",") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of delimited text with a header line, or of JSON lines where ``sep`` is None.
+
+    A line whose values do not fit the schema, or that has too few or too many of them, is a reject: (source_file, line, ingest_timestamp). A
+    file whose header names other columns is an error. Every line is in one of the two.
+    """
+    wide = StructType([*schema.fields, StructField(BAD, StringType())])
+    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    found = reader.json(path) if sep is None else reader.option("header", True).option("enforceSchema", False).option("sep", sep).csv(path)
+    # Parsed once, whole, into the landing table: a scan of fewer columns would not see every fault.
+    found = staged(with_provenance(found), "landed")
+    rejects = found.where(F.col(BAD).isNotNull()).select("source_file", F.col(BAD).alias("line"), "ingest_timestamp")
+    return found.where(F.col(BAD).isNull()).drop(BAD), rejects
+
+
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.DOSE_POINT)
 

@@ -154,3 +154,16 @@ def test_header_in_another_order_is_refused(spark):
 def test_folding(spark):
     df = spark.createDataFrame([(" Żółć ",)], "x string")
     assert df.select(fold(F.col("x"))).first()[0] == "zolc"
+
+
+def test_every_landed_line_is_a_row_or_a_reject(spark):
+    text = "lat,lon,measured_at,dose_rate_usv_h\n37.4,141.0,2011-03-15T00:00:00,0.5\nx,141.0,2011-03-15T00:00:00,0.5\n37.4,141.0\n37.4,141.0,,\n"
+    good, bad = files.with_rejects(spark, put(spark, "m.csv", text), schemas.DOSE_POINT)
+    assert [tuple(r) for r in good.select("lat", "dose_rate_usv_h").collect()] == [(37.4, 0.5), (37.4, None)]
+    assert sorted(r.line for r in bad.collect()) == ["37.4,141.0", "x,141.0,2011-03-15T00:00:00,0.5"]
+    assert good.columns == [*schemas.DOSE_POINT.fieldNames(), "source_file", "ingest_timestamp"] and bad.first().source_file.endswith("m.csv")
+    feed = '{"device_id":"a","seq":1}\n{"device_id":"b","seq":"one"}\n{"device_id":\nno json\n'
+    good, bad = files.with_rejects(spark, put(spark, "f.json", feed), schemas.DEVICE_CHANGE, None)
+    assert [r.device_id for r in good.collect()] == ["a"] and bad.count() == 3
+    with pytest.raises(Exception, match="header|Header|CSV"):
+        files.with_rejects(spark, put(spark, "h.csv", "lon,lat,measured_at,dose_rate_usv_h\n1,2,,\n"), schemas.DOSE_POINT)
