@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -20,6 +21,15 @@ def test_entry_module_loads_without_a_session():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
 
 
+def test_entry_module_loads_where_an_empty_folder_is_left_of_the_text_operators(tmp_path):
+    shutil.copytree(ROOT / "leeward", tmp_path / "leeward", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert e.corpus_pipeline is None and len(e.queries()) > 70"
+    for left in ("leeward/llm/__pycache__", "corpus_pipeline.py"):
+        (tmp_path / left).mkdir(parents=True) if left.endswith("__") else (tmp_path / left).write_text("raise RuntimeError('not to be read')")
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
 def test_entry(spark):
     import __spark_entry__
     out = __spark_entry__.entry(spark)
