@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from leeward import schemas
 from leeward.functions.numeric import quantize
+from leeward.operators import alerts as board
 from leeward.operators import governance, registry
 from leeward.operators.rules import expect
+from leeward.plans import monitoring
 from leeward.plans.catalog import q6, query
+from leeward.plans.registry_queries import VERSIONS, since_origin
+from leeward.plans.sensor_queries import ALERTED, LIMITS, refreshed
 from leeward.session import staged
 from leeward.sources import files
 from leeward.sources.fixtures import Tables, with_views
@@ -108,6 +112,47 @@ def rls_by_site(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_cities"), F.sum("population").alias("population"))
 
 
+# Alerts and clean readings with the jurisdiction their device was in at the time.
+PLACED = ALERTED | VERSIONS | {
+    "raised": """select 'alert' as kind, alert_type, device_id, event_s from alerts where alert_type is not null
+        union all select 'alert', 'sensor_fault', device_id, event_s from once where reasons <> ''
+        union all select 'clean', null, device_id, event_s from judged where quality_status = 'clean'""",
+    "owned": """select r.*, v.jurisdiction_code from raised r left join versions v on v.device_id = r.device_id
+        and v.start_seq <= event_s - 1300060800 and event_s - 1300060800 < coalesce(v.end_seq, 9000000000000)"""}
+
+
+def owned(t: Tables) -> DataFrame:
+    """(kind, alert_type, device_id, event_time, jurisdiction_code) of alerts, faults and clean readings, by the registry as of each reading."""
+    judged = staged(refreshed(t), "quality")
+    faults = board.fault_alerts(monitoring.split_readings(t.readings(), LIMITS).refused)
+    columns = ["kind", "alert_type", "device_id", "event_time"]
+    rows = (board.alerts(judged).withColumn("kind", F.lit("alert")).select(*columns)
+            .unionByName(faults.withColumn("kind", F.lit("alert")).select(*columns))
+            .unionByName(judged.where("quality_status = 'clean'").withColumn("kind", F.lit("clean")).withColumn("alert_type", F.lit(None).cast("string")).select(*columns)))
+    return registry.as_of(staged(rows, "raised"), registry.scd2(t.device_cdc()), since_origin(), ["jurisdiction_code"])
+
+
+@query(with_views("v_readings v_device_pos v_device_cdc", """select alert_type, coalesce(jurisdiction_code, 'none') as jurisdiction_code, count(*) as n_alerts,
+    count(distinct device_id) as n_devices from owned where kind = 'alert' group by 1, 2""", PLACED))
+def alerts_by_jurisdiction(t: Tables) -> DataFrame:
+    """What each authority has before it."""
+    found = owned(t).where("kind = 'alert'").withColumn("jurisdiction_code", F.coalesce("jurisdiction_code", F.lit("none")))
+    return board.active_alerts(found, ["jurisdiction_code"])
+
+
+@query(with_views("v_readings v_device_pos v_device_cdc", f"""select caller, kind, coalesce(jurisdiction_code, 'none') as jurisdiction_code, count(*) as n_rows
+    from owned, {WHO} where {SEES} group by 1, 2, 3""", PLACED))
+def rls_sensor_rows(t: Tables) -> DataFrame:
+    """Alerts and clean readings as every caller sees them: by the jurisdiction of the device at the time."""
+    rows = staged(owned(t), "owned")
+    policy = governance.default_policy(t.spark, ["JP-07", "JP-08", "PL-22"])
+    out = None
+    for caller, groups in CALLERS.items():
+        part = governance.visible_rows(rows, policy, groups).withColumn("caller", F.lit(caller))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("caller", "kind", F.coalesce("jurisdiction_code", F.lit("none")).alias("jurisdiction_code")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(with_views("v_readings v_device_pos", f"""select sha256(concat('salt', r.device_id)) as device_id, {q6('(floor(p.lat / 0.05) + 0.5) * 0.05')} as lat,
     {q6('(floor(p.lon / 0.05) + 0.5) * 0.05')} as lon, count(*) as n_readings, cast(null as double) as source_term_bq
     from v_readings r join v_device_pos p on p.device_id = r.device_id group by r.device_id, p.lat, p.lon"""))
