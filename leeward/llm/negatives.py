@@ -319,7 +319,10 @@ def _answers(wave: Wave, held: list[dict], numbers: Numbers, dims: int, negative
             fits &= wave.id[some][:, None] != ids[None, :]
             for w in range(width):
                 r, c = np.nonzero(fits & (scores >= floor[some, w][:, None]) & (scores <= wave.hi[some, w][:, None]) & live[some, w][:, None])
-                best.add(some[r] * width + w, scores[r, c], ids[c])
+                asked, found = some[r] * width + w, scores[r, c]
+                # Among equal scores only a smaller id gains a place: a group of copies, whose ids ascend, is not sorted again and again.
+                gains = (found > best.scores[asked, -1]) | (ids[c] < best.ids[asked, -1])
+                best.add(asked[gains], found[gains], ids[c][gains])
     rows, scores, ids = best.found()
     return wave.uid[rows // width], rows % width, scores, ids
 
