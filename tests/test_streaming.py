@@ -12,7 +12,7 @@ from leeward.session import fresh_path, make_folder
 from leeward.sources.fixtures import Tables
 from leeward.streaming import health, ingest, state
 from leeward.streaming.metrics import BatchMetrics
-from test_sensor_dq import frame, reading
+from test_sensor_dq import T0, frame, reading
 
 SCHEMA = schemas._s(("ingestion_path", schemas.S), ("cell_id", schemas.L), *[(f.name, f.dataType) for f in schemas.READING])
 
@@ -145,7 +145,7 @@ def test_accounts_hold_every_row_once(spark):
     ingest.run_available(to_bronze)
     ingest.run_available(to_routes)
     found = ingest.account(spark.read.parquet(f"{root}/bronze"), spark.read.parquet(f"{root}/routed"))
-    got = rows(found, "device_id", F.unix_seconds("event_time"), F.unix_seconds("sent_at"), "route")
+    got = rows(found, "device_id", F.unix_seconds("event_time") - T0, F.unix_seconds("sent_at") - T0, "route")
     assert got == sorted([("a", 600, 600, "clean"), ("a", 600, 600, "duplicate"), ("a", 7200, 7200, "clean"), ("b", 7200, 8200, "late"),
                           ("a", 3600, 3660, "duplicate"), ("a", 3600, 3600, "behind_watermark"), ("c", 3600, 3600, "behind_watermark"),
                           ("d", 7000, 7000, "clean"), ("a", 7200, 7320, "duplicate"), ("e", 7100, None, "bad_timestamp")], key=str)
