@@ -19,8 +19,9 @@ def within_radius(left: DataFrame, right: DataFrame, left_at: tuple[str, str], r
     lat, lon = (F.col(c) for c in left_at)
     reach = radius_km / KM_PER_DEGREE * 1.001
     # longitudes widen toward the poles; next to a pole the box goes all the way round
-    widest_lat = F.least(F.abs(lat) + F.lit(reach), F.lit(89.9))
-    reach_lon = F.least(F.lit(reach) / F.cos(F.radians(widest_lat)), F.lit(180.0))
+    widest_lat = F.abs(lat) + F.lit(reach)
+    reach_lon = F.when(widest_lat >= 89.9, F.lit(180.0)).otherwise(
+        F.least(F.lit(reach) / F.cos(F.radians(widest_lat)), F.lit(180.0)))
 
     def square(x: Column) -> Column:
         return F.floor(x / F.lit(step)).cast("long")

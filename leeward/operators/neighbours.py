@@ -1,35 +1,93 @@
 """What the other devices nearby say in the same minute.
 
-Devices are grouped into station points (position on a fine lattice), and distances are taken
-between points. The pair table is therefore bounded by the number of lattice points within the
-radius, whatever the number of devices, and a place with very many devices is one point whose
-readings are merged before they are shuffled. The device itself is taken out of the sums again.
+"Nearby" is exact: the radius is taken between the positions themselves. The disc around a position is covered by
+cells of a few sizes: a cell that lies wholly inside is one group, whatever the number of devices in it, a cell on the rim
+is opened into smaller ones, and only on the rim of the smallest are distances taken position by position. Readings are
+merged per group before they meet the disc, so no reading is repeated for every position around it, and the groups
+of a disc never overlap. The device itself is taken out of the sums again.
+
+A device without a finite position has no neighbours and is left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leeward.functions.geo import KM_PER_DEGREE, haversine_km
 from leeward.functions.numeric import epoch_s, holds
 from leeward.operators.geometry import within_radius
-
-LATTICE_DEG = 0.001
-
-
-def station_points(devices: DataFrame, lattice_deg: float = LATTICE_DEG) -> DataFrame:
-    """(device_id, point, lat, lon) with the position rounded to the lattice."""
-    iy = F.floor(F.col("lat") / lattice_deg + F.lit(0.5)).cast("long")
-    ix = F.floor(F.col("lon") / lattice_deg + F.lit(0.5)).cast("long")
-    return devices.select("device_id", F.concat_ws(":", iy, ix).alias("point"),
-                          (iy * F.lit(lattice_deg)).alias("lat"), (ix * F.lit(lattice_deg)).alias("lon"))
-
-
-def neighbour_pairs(points: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """(point, near) for all pairs of station points within the radius, a point with itself included."""
-    places = points.select("point", "lat", "lon").distinct()
-    other = places.select(F.col("point").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = within_radius(places, other, ("lat", "lon"), ("lat2", "lon2"), radius_km)
-    return near.select("point", "near")
+from leeward.session import staged
+
+#: Sizes of the cells of a cover, coarse to fine, under a degree; any such sizes give the same result. Each divides the one before.
+CELLS_DEG = (0.02, 0.005, 0.00125)
+#: A bound by the triangle inequality must be met by this much (1 mm); closer calls are left to the positions themselves.
+MARGIN_KM = 1e-6
+
+
+def station_points(devices: DataFrame, cells_deg: tuple[float, ...] = CELLS_DEG) -> DataFrame:
+    """(device_id, point, lat, lon, top, groups): ``point`` is the exact position, ``groups`` the cells it lies in, coarse to
+    fine, and last the position itself, each with its centre; ``top`` is the first of them."""
+    lat, lon = (F.col(c).cast("double") + F.lit(0.0) for c in ("lat", "lon"))
+    placed = devices.select("device_id", lat.alias("lat"), lon.alias("lon")).filter(
+        F.abs("lat").between(0, 90) & F.abs("lon").between(0, 360))
+    fine = F.lit(cells_deg[-1])
+    iy, ix = F.floor(F.col("lat") / fine).cast("long"), F.floor(F.col("lon") / fine).cast("long")
+    groups = []
+    for level, step in enumerate(cells_deg):
+        ratio = round(step / cells_deg[-1])
+        y, x = F.floor(iy / ratio).cast("long"), F.floor(ix / ratio).cast("long")
+        groups.append(F.struct(F.concat_ws(":", F.lit(str(level)), y, x).alias("key"),
+                               ((y + F.lit(0.5)) * F.lit(step)).alias("lat"), ((x + F.lit(0.5)) * F.lit(step)).alias("lon")))
+    point = F.concat_ws(":", F.lit("p"), "lat", "lon")
+    groups.append(F.struct(point.alias("key"), F.col("lat"), F.col("lon")))
+    return placed.select("device_id", point.alias("point"), "lat", "lon", groups[0]["key"].alias("top"),
+                         F.array(*groups).alias("groups"))
+
+
+def neighbour_pairs(points: DataFrame, radius_km: float = 5.0, cells_deg: tuple[float, ...] = CELLS_DEG) -> DataFrame:
+    """(point, near, top): the groups that make up the disc around each position, its own position included.
+
+    A row of the largest cell carries the occupied cells in it, which the sizes bound, so the descent needs no join; only the
+    rim of the smallest is joined with its positions. No position of a cell is farther from its centre than ``reach``.
+    """
+    places = points.select("point", "lat", "lon", "groups").distinct()
+    reach = [step * KM_PER_DEGREE * 0.7072 for step in cells_deg]       # half a diagonal, and a little for the sphere
+    finest = len(cells_deg) - 1
+    first = F.col("groups")[0]
+    cells = places.groupBy(first["key"].alias("top"), first["lat"].alias("lat2"), first["lon"].alias("lon2")).agg(
+        F.collect_set(F.slice("groups", 1, finest + 1)).alias("cells"))
+    rows = within_radius(places.drop("groups"), cells, ("lat", "lon"), ("lat2", "lon2"), radius_km + reach[0] + MARGIN_KM)
+
+    def settle(chain: Column) -> Column:
+        """The largest cell of a chain that lies inside, else the finest, still open; NULL if the finest lies outside."""
+        away = [haversine_km(F.col("lat"), F.col("lon"), chain[k]["lat"], chain[k]["lon"]) for k in range(finest + 1)]
+        found = F.when(away[finest] - reach[finest] <= radius_km + MARGIN_KM, F.struct(chain[finest]["key"].alias("near"), F.lit(True).alias("open")))
+        for k in reversed(range(finest + 1)):
+            inside = F.struct(chain[k]["key"].alias("near"), F.lit(False).alias("open"))
+            found = F.when(away[k] + reach[k] <= radius_km - MARGIN_KM, inside).otherwise(found)
+        return found
+
+    met = rows.select("point", "lat", "lon", "top", F.explode(
+        F.array_compact(F.array_distinct(F.transform("cells", settle)))).alias("met")).select("point", "lat", "lon", "top", "met.*")
+    rim = places.select(F.col("groups")[finest]["key"].alias("cell"), F.col("point").alias("at"), F.col("lat").alias("lat2"),
+                        F.col("lon").alias("lon2"))
+    # what is settled gets a key that no cell has, spread over the tasks
+    cell = F.when(F.col("open"), F.col("near")).otherwise(F.concat(F.lit("settled "), "point"))
+    out = met.withColumn("cell", cell).join(rim, "cell", "left")
+    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return out.filter(~F.col("open") | (distance <= radius_km)).select("point", F.coalesce("at", "near").alias("near"), "top")
+
+
+def neighbourhood(devices: DataFrame, radius_km: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Station points and the groups of their discs, written once; they change only with the registry."""
+    points = staged(station_points(devices), "points")
+    return points, staged(neighbour_pairs(points, radius_km), "pairs")
+
+
+def members(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(device_id, near): the groups a device lies in, as far as any disc uses them."""
+    every = points.select("device_id", F.explode("groups.key").alias("near"))
+    return every.join(pairs.select("near").distinct(), "near", "left_semi")
 
 
 def _minute() -> Column:
@@ -62,24 +120,25 @@ def confirmed_by_neighbours(readings: DataFrame, value: str, points: DataFrame,
     at = points.select("device_id", "point")
     timed = readings.select("device_id", "event_time", value, _minute().alias("minute"))
     raised = timed.filter(F.col(value) > threshold).select("device_id", "minute").distinct()
-    wanted = (raised.join(at, "device_id").join(pairs, "point")
-              .select(F.col("near").alias("point"), "minute").distinct())
+    wanted = raised.join(at, "device_id").join(pairs, "point").select("near", "top", "minute").distinct()
     last = F.max(F.struct(epoch_s(F.col("event_time")).alias("s"), F.col(value).alias("v"))).alias("last")
-    placed = (timed.filter(F.col(value).isNotNull()).join(at, "device_id")
-              .join(wanted, ["point", "minute"], "left_semi").groupBy("device_id", "point", "minute")
-              .agg(last, F.max(F.col(value) > threshold).alias("raised")))
-    placed = placed.select("device_id", "point", "minute", "raised", F.col("last.v").alias("value"),
-                           (F.col("last.v") > threshold).alias("above"))
-    nearest = Window.partitionBy("point", "minute", "above").orderBy(
+    heard = (timed.filter(F.col(value).isNotNull()).join(points.select("device_id", "top"), "device_id")
+             .join(wanted.select("top", "minute").distinct(), ["top", "minute"], "left_semi")
+             .groupBy("device_id", "minute").agg(last, F.max(F.col(value) > threshold).alias("raised")))
+    heard = heard.select("device_id", "minute", "raised", F.col("last.v").alias("value"),
+                         (F.col("last.v") > threshold).alias("above"))
+    placed = (heard.drop("raised").join(members(points, pairs), "device_id")
+              .join(wanted.select("near", "minute"), ["near", "minute"], "left_semi"))
+    nearest = Window.partitionBy("near", "minute", "above").orderBy(
         F.abs(F.col("value") - F.lit(threshold)), "device_id")
     closest = (placed.withColumn("rn", F.row_number().over(nearest)).filter(F.col("rn") <= 2)
-               .groupBy("point", "minute")
+               .groupBy("near", "minute")
                .agg(F.collect_list(F.struct("above", "value", "device_id")).alias("closest")))
-    counts = placed.groupBy("point", "minute").agg(
+    counts = placed.groupBy("near", "minute").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("above").alias("n_above"))
-    summary = counts.join(closest, ["point", "minute"]).withColumnRenamed("point", "near")
-    asked = placed.filter("raised").select("device_id", "point", "minute", F.col("above").alias("own_above"))
-    seen = asked.join(pairs, "point").join(summary, ["near", "minute"])
+    summary = counts.join(closest, ["near", "minute"])
+    asked = heard.filter("raised").select("device_id", "minute", F.col("above").alias("own_above")).join(at, "device_id")
+    seen = asked.join(pairs.select("point", "near"), "point").join(summary, ["near", "minute"])
 
     def others(side: bool):
         return F.transform(F.filter("closest", lambda c: (c["device_id"] != F.col("device_id")) & (c["above"] == side)),
@@ -94,43 +153,66 @@ def confirmed_by_neighbours(readings: DataFrame, value: str, points: DataFrame,
         F.col("n"), F.col("n_above"), F.col("below"), F.col("above"), threshold).alias("confirmed"))
 
 
-def neighbour_median(minute_values: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+def neighbour_median(minute_values: DataFrame, points: DataFrame, pairs: DataFrame,
+                     widths: tuple[float, ...] = (0.05,)) -> DataFrame:
     """(device_id, minute, n_neighbours, neighbour_median) with the device itself left out.
 
-    Values are ranked once per (point, minute) over the neighbourhood. Leaving one value out of a
-    ranked list moves its middle by at most one rank, so three middle values serve every
-    device of the point. A ranked group holds one value per device within the radius.
+    Each group counts its values in bins of ``widths[0]``; a disc adds up the counts of its groups, which says in which bins
+    its middle lies, and only those are refined, by the next width and at last by the values themselves. Leaving one value out
+    of an ordered list moves its middle by at most one rank, so three values serve every device of a position.
+    ``minute_values`` is read several times: hand it a written table.
     """
     at = points.select("device_id", "point")
-    placed = minute_values.join(at, "device_id").withColumnRenamed("point", "near")
-    around = placed.join(pairs, "near").select("point", "minute", "near", "device_id", "value")
-    group = Window.partitionBy("point", "minute")
-    ranked = (around.withColumn("rn", F.row_number().over(group.orderBy("value", "device_id")))
-              .withColumn("n", F.count(F.lit(1)).over(group)))
-    # ranks (from 1) of the two middle values once one value is gone
-    low = F.floor((F.col("n") - 2) / 2).cast("long") + 1
-    high = F.ceil((F.col("n") - 2) / 2).cast("long") + 1
-    ranked = ranked.withColumn("lo", low).withColumn("hi", high)
-    at_rank = [F.max(F.when(F.col("rn") == F.col("lo") + k, F.col("value"))).alias(f"v{k}") for k in range(3)]
-    middle = ranked.filter(F.col("rn").between(F.col("lo"), F.col("hi") + 1)).groupBy("point", "minute").agg(*at_rank)
-    own = ranked.filter(F.col("near") == F.col("point")).select("point", "minute", "device_id", "rn", "n", "lo", "hi")
-
-    def without_self(rank: str) -> Column:
-        shifted = F.col(rank) - F.col("lo") + F.when(F.col("rn") <= F.col(rank), 1).otherwise(0)
-        return F.when(shifted == 0, F.col("v0")).when(shifted == 1, F.col("v1")).otherwise(F.col("v2"))
-
-    out = own.join(middle, ["point", "minute"], "left")
-    median = F.when(F.col("n") > 1, (without_self("lo") + without_self("hi")) / 2)
-    return out.select("device_id", "minute", (F.col("n") - 1).alias("n_neighbours"), median.alias("neighbour_median"))
+    own = minute_values.join(at, "device_id")
+    discs = own.select("point", "minute").distinct().join(pairs.select("point", "near"), "point")
+    bins = [F.when(F.isnan("value"), F.lit(2 ** 63 - 1)).otherwise(F.floor(F.col("value") / F.lit(w)).cast("long"))
+            for w in widths] + [F.col("value")]
+    held = (minute_values.join(members(points, pairs), "device_id").groupBy("near", "minute", "value")
+            .agg(F.count(F.lit(1)).alias("n")).withColumns({f"b{k}": b for k, b in enumerate(bins)}))
+    disc = Window.partitionBy("point", "minute")
+    middle = None
+    for k in range(len(bins)):
+        names = [f"b{i}" for i in range(k + 1)]
+        counted = held.groupBy("near", "minute", *names).agg(F.sum("n").alias("n"))
+        if middle is None:
+            merged = (discs.join(counted, ["near", "minute"]).groupBy("point", "minute", *names)
+                      .agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(disc)).withColumn("base", F.lit(0)))
+        else:
+            merged = (middle.join(discs, ["point", "minute"]).join(counted, ["near", "minute", *names[:-1]])
+                      .groupBy("point", "minute", *names)
+                      .agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.min("base").alias("base")))
+            # the bins left of a disc stand side by side: the ranks below them are those below the first
+            merged = merged.withColumn("base", F.min("base").over(disc))
+        merged = merged.withColumn("upto", F.col("base") + F.sum("n").over(
+            disc.orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        # the ranks (from 1) that can stand in the middle once one value is gone: lo to lo + 2
+        merged = merged.withColumn("lo", F.floor((F.col("total") - 2) / 2).cast("long") + 1)
+        merged = merged.filter((F.col("upto") >= F.col("lo")) & (F.col("upto") - F.col("n") < F.col("lo") + 2))
+        middle = merged.select("point", "minute", *names, "total", "lo", "n", "upto",
+                               (F.col("upto") - F.col("n")).alias("base"))
+        if k + 1 < len(bins):
+            middle = middle.drop("lo", "n", "upto")
+    value = F.col(f"b{len(bins) - 1}")
+    at_rank = [F.max(F.when((F.col("upto") >= F.col("lo") + k) & (F.col("base") < F.col("lo") + k), value)).alias(f"v{k}")
+               for k in range(3)]
+    found = middle.groupBy("point", "minute").agg(F.max("total").alias("total"), *at_rank)
+
+    def without_self(k: int) -> Column:
+        """The value of rank lo + k of the others: the ranks from the device's own value on move up by one."""
+        return F.when(F.col("value") > F.col(f"v{k}"), F.col(f"v{k}")).otherwise(F.col(f"v{k + 1}"))
+
+    out = own.join(found, ["point", "minute"])
+    odd = F.col("total") % 2 == 0                      # so many others as there are devices but one
+    median = F.when(F.col("total") > 1, F.when(odd, without_self(0)).otherwise((without_self(0) + without_self(1)) / 2))
+    return out.select("device_id", "minute", (F.col("total") - 1).alias("n_neighbours"), median.alias("neighbour_median"))
 
 
 def neighbour_sums(minute_values: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Count, mean and sample variance over the neighbours, the device itself taken out of the sums."""
-    at = points.select("device_id", "point")
-    placed = minute_values.join(at, "device_id")
-    sums = placed.groupBy("point", "minute").agg(
+    placed = minute_values.join(points.select("device_id", "point"), "device_id")
+    sums = minute_values.join(members(points, pairs), "device_id").groupBy("near", "minute").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    around = (sums.withColumnRenamed("point", "near").join(pairs, "near").groupBy("point", "minute")
+    around = (sums.join(pairs, "near").groupBy("point", "minute")
               .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")))
     out = placed.join(around, ["point", "minute"])
     v = F.col("value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leeward.config import Limits
 from leeward.functions.numeric import epoch_s, holds
-from leeward.operators.neighbours import confirmed_by_neighbours, neighbour_pairs, per_minute, station_points
+from leeward.operators.neighbours import confirmed_by_neighbours, members, neighbourhood, per_minute
 from leeward.operators.slices import SLICE, carry_runs, runs_of_value, slice_no, trailing, with_previous
 
 DEVICE = ["device_id"]
@@ -127,8 +127,8 @@ def history(clean: DataFrame, band: DataFrame, origin_s: int = 0, limits: Limits
 def quality_status(marked: DataFrame, points: DataFrame, pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``quality_status`` in clean, drift_suspect, frozen, warmup, from a written ``history``.
 
-    ``points`` and ``pairs`` are the station points of the devices and which of them are near each
-    other (``station_points``, ``neighbour_pairs``); they change only with the registry.
+    ``points`` and ``pairs`` are the positions of the devices and the groups around them (``neighbourhood``); they
+    change only with the registry.
 
     A raised residual that the neighbours share is a real signal over an area (``plume_signal``);
     one they do not share is drift. Only device-minutes with a raised residual are compared, and
@@ -183,12 +183,11 @@ def impute_gaps(df: DataFrame, devices: DataFrame, gap_minutes: float = 5.0,
     gaps = seen.filter(F.col("minute") - F.col("prev_minute") > gap_minutes)
     missing = gaps.select("device_id", F.explode(
         F.sequence(F.col("prev_minute") + 1, F.col("minute") - 1)).alias("minute"))
-    points = station_points(devices)
-    values = per_minute(df, "dose_rate_usv_h").join(points.select("device_id", "point"), "device_id")
-    sums = values.groupBy("point", "minute").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    pairs = neighbour_pairs(points, limits.neighbour_km)
-    around = (missing.join(points.select("device_id", "point"), "device_id").join(pairs, "point")
-              .join(sums.withColumnRenamed("point", "near"), ["near", "minute"], "left")
+    points, pairs = neighbourhood(devices, limits.neighbour_km)
+    values = per_minute(df, "dose_rate_usv_h").join(members(points, pairs), "device_id")
+    sums = values.groupBy("near", "minute").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    around = (missing.join(points.select("device_id", "point"), "device_id", "left").join(pairs, "point", "left")
+              .join(sums, ["near", "minute"], "left")
               .groupBy("device_id", "minute").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     return around.select("device_id", "minute", F.try_divide("s", "n").alias("dose_rate_usv_h"),
                          F.coalesce("n", F.lit(0)).alias("n_neighbours"), F.lit(True).alias("is_imputed"))

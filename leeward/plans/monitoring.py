@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from leeward.config import Limits
 from leeward.operators.alerts import alerts, clean_share, with_confidence
 from leeward.operators.late import dedup_exact, with_route
-from leeward.operators.neighbours import neighbour_pairs, station_points
+from leeward.operators.neighbours import neighbourhood
 from leeward.operators.quality import history, quality_status
 from leeward.operators.rules import apply_rules, quarantine, reading_rules
 from leeward.session import staged
@@ -53,8 +53,7 @@ def refresh_quality(readings: DataFrame, devices: DataFrame, band: DataFrame, or
     The history frame is written once; the judgement then reads only the columns it needs from it.
     """
     marked = staged(history(clean_readings(readings, limits), band, origin_s, limits), "history")
-    points = staged(station_points(devices), "points")
-    pairs = staged(neighbour_pairs(points, limits.neighbour_km), "pairs")
+    points, pairs = neighbourhood(devices, limits.neighbour_km)
     return quality_status(marked, points, pairs, limits)
 
 

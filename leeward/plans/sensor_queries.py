@@ -237,9 +237,8 @@ def residual_30m(t: Tables) -> DataFrame:
 def neighbour_median(t: Tables) -> DataFrame:
     df = quality.residual_mean(quality.with_residual(
         quality.with_model_band(clean(t), t.band(), ORIGIN_S), LIMITS.background_usv_h), LIMITS)
-    points = neighbours.station_points(t.device_pos())
-    out = neighbours.neighbour_median(neighbours.per_minute(df, "residual_30m"), points,
-                                      neighbours.neighbour_pairs(points, LIMITS.neighbour_km))
+    values = staged(neighbours.per_minute(df, "residual_30m"), "minute-values")
+    out = neighbours.neighbour_median(values, *neighbours.neighbourhood(t.device_pos(), LIMITS.neighbour_km))
     return out.select("device_id", "minute", "n_neighbours", quantize(F.col("neighbour_median")).alias("neighbour_median"))
 
 
@@ -274,9 +273,8 @@ def quality_status_stable(t: Tables) -> DataFrame:
             where wind_speed_ms is not null group by 1, 2"""}))
 def cross_sensor_outlier(t: Tables) -> DataFrame:
     on_time, _ = late.split_late(t.readings(), LIMITS.max_lag_minutes)
-    winds = neighbours.per_minute(late.dedup_exact(on_time), "wind_speed_ms")
-    points = neighbours.station_points(t.device_pos())
-    out = neighbours.neighbour_outlier(winds, points, neighbours.neighbour_pairs(points, LIMITS.neighbour_km),
+    winds = staged(neighbours.per_minute(late.dedup_exact(on_time), "wind_speed_ms"), "minute-winds")
+    out = neighbours.neighbour_outlier(winds, *neighbours.neighbourhood(t.device_pos(), LIMITS.neighbour_km),
                                        LIMITS.outlier_sigmas)
     return out.select("device_id", "minute", quantize(F.col("value")).alias("value"), "n_neighbours",
                       quantize(F.col("neighbour_mean")).alias("neighbour_mean"), flag(F.col("is_outlier")).alias("is_outlier"))

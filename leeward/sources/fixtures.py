@@ -75,7 +75,8 @@ class Tables:
     def device_pos(self) -> DataFrame:
         return self.read("events").selectExpr("event_id % 50 as dev").distinct().selectExpr(
             "concat('dev-', lpad(cast(dev as string), 3, '0')) as device_id", "dev % 10 as cell_id",
-            "cast(54.80 + 0.09 * (dev % 10) as double) as lat", "cast(17.83 + 0.004 * floor(dev / 10) as double) as lon")
+            "cast(54.80 + 0.09 * (dev % 10) + 0.00213 * (dev % 7) as double) as lat",
+            "cast(17.83 + 0.01937 * floor(dev / 10) as double) as lon")
 
     def weather(self) -> DataFrame:
         return self.read("orders").selectExpr(
@@ -184,7 +185,8 @@ VIEW_SQL = {
                case o_custkey % 3 when 0 then 'JP-07' when 1 then 'JP-08' else 'PL-22' end as jurisdiction_code
         from orders{where}""" for where in ("", " where o_orderkey % 10 = 0"))),
     "v_device_pos": ((), """select concat('dev-', lpad(cast(dev as string), 3, '0')) as device_id, dev % 10 as cell_id,
-               cast(54.80 + 0.09 * (dev % 10) as double) as lat, cast(17.83 + 0.004 * floor(dev / 10) as double) as lon
+               cast(54.80 + 0.09 * (dev % 10) + 0.00213 * (dev % 7) as double) as lat,
+               cast(17.83 + 0.01937 * floor(dev / 10) as double) as lon
         from (select distinct event_id % 50 as dev from events) x"""),
     "v_meteo": ((), """select o_orderkey % 4 as site_no, cast(floor(o_orderkey / 4) as bigint) as hour_no,
                floor(50 + o_totalprice % 1200 + 0.5) / 100 as wind_speed_10m,

@@ -145,6 +145,58 @@ def test_neighbour_median_leaves_the_device_out(spark):
         ("a", 3, 4.0), ("b", 3, 4.0), ("c", 3, 2.0), ("d", 3, 2.0), ("e", 0, None)]
 
 
+def scattered(spark, n=60, seed=3):
+    """Devices off any lattice, some at one position, some near the date line and the pole, some without a position."""
+    import random
+    rng = random.Random(seed)
+    at = [(f"d{i:02d}", 54.8 + rng.gauss(0, 0.03), 17.83 + rng.gauss(0, 0.05)) for i in range(n)]
+    at += [("twin", at[0][1], at[0][2]), ("east", 10.0, 179.99), ("west", 10.01, -179.99), ("pole", 89.99, 0.0), ("over", 89.99, 180.0)]
+    return at, spark.createDataFrame([*at, ("lost", None, 17.8), ("odd", float("nan"), 17.8)], "device_id string, lat double, lon double")
+
+
+def near_by(at, radius):
+    from math import asin, cos, radians, sin, sqrt
+
+    def km(a, b):
+        h = sin(radians(b[1] - a[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * asin(sqrt(min(1.0, h)))
+    return {a[0]: {b[0] for b in at if b[0] != a[0] and km(a, b) <= radius} for a in at}
+
+
+def test_disc_is_exact_and_its_groups_do_not_overlap(spark):
+    at, places = scattered(spark)
+    for cells in (neighbours.CELLS_DEG, (0.04, 0.01)):
+        points = staged(neighbours.station_points(places, cells), "t")
+        pairs = staged(neighbours.neighbour_pairs(points, 5.0, cells), "t")
+        met = points.select("device_id", "point").join(pairs, "point").join(
+            neighbours.members(points, pairs).withColumnRenamed("device_id", "other"), "near")
+        found = [tuple(r) for r in met.select("device_id", "other").collect()]
+        wanted = near_by(at, 5.0)
+        assert len(found) == len(set(found))
+        assert set(found) == {(a, b) for a, others in wanted.items() for b in others | {a}}
+        assert pairs.filter("near like '0:%' or near like '1:%'").count() > 0      # some cells were taken whole
+
+
+def test_neighbour_median_matches_brute_force(spark):
+    import random
+    import statistics
+    rng = random.Random(5)
+    at, places = scattered(spark)
+    data = [(n, m, round(rng.gauss(0, 0.1), 2)) for n, _, _ in at for m in range(6) if rng.random() < 0.8]
+    values = spark.createDataFrame([*data, ("lost", 1, 0.5)], "device_id string, minute long, value double")
+    wanted = near_by(at, 5.0)
+    expected = {}
+    for name, minute, _ in data:
+        others = [v for n, m, v in data if m == minute and n in wanted[name]]
+        expected[(name, minute)] = (len(others), statistics.median(others) if others else None)
+    for widths in ((0.05,), (10.0, 0.1), (0.001,)):
+        out = neighbours.neighbour_median(values, *neighbours.neighbourhood(places, 5.0), widths=widths)
+        got = {(r[0], r[1]): (r[2], r[3]) for r in out.collect()}
+        assert set(got) == set(expected)
+        for key, (n, median) in expected.items():
+            assert got[key][0] == n and (got[key][1] == median if median is None else abs(got[key][1] - median) < 1e-12), key
+
+
 def test_neighbour_decision_matches_brute_force(spark):
     import random
     import statistics
