@@ -103,6 +103,26 @@ def test_leaks(spark):
     assert decontaminate.remove(table, bench.where(F.lit(False))).count() == len(docs)
 
 
+def test_leaks_of_short_items(spark):
+    """Every way to replace words of an item of 5 to 13 words that its rule allows, one more word, and one fewer kept."""
+    from itertools import combinations
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(3, 14)]
+    docs, wanted = [], set()
+    for n, text in items:
+        allowed = n - -(-4 * n // 5)
+        for gone in range(allowed + 2):
+            for places in combinations(range(n), gone):
+                words = ["x" if k in places else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", "it", *words, "and", "after"])))
+                if gone <= allowed and n >= 5:
+                    wanted.add((len(docs) - 1, n, n - gone))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item, r.matched) for r in decontaminate.overlaps(table, bench).collect()} == wanted
+    few = bench.where("item_id = 7")
+    assert {(r.id, r.item, r.matched) for r in decontaminate.overlaps(table, few).collect()} == {w for w in wanted if w[1] == 7}
+
+
 @pytest.mark.parametrize("lengths", ["unit", "mixed"])
 def test_neighbours(spark, lengths):
     rng = np.random.default_rng(3)
