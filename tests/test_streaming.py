@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from support import rows
 from leeward import schemas
@@ -165,3 +165,15 @@ def test_hour_of_late_resends_is_counted_whole(spark):
         ingest.run_available(writer)
     shares = spark.read.parquet(f"{root}/out").orderBy("window_s").collect()
     assert [(r.n_readings, r.n_clean) for r in shares] == [(4, 3), (1, 1)]
+
+
+def test_reading_without_any_time_lands_in_the_growing_table(spark, tmp_path):
+    """Event 510,559 is the first that says neither when it was taken nor when it was sent."""
+    from leeward.plans.catalog import all_queries
+    small = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{small}/events.parquet").limit(100)
+    events.withColumn("event_id", F.lit(510_500) + F.row_number().over(Window.orderBy("event_id"))).write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{small}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    sent = Tables(spark, str(tmp_path)).readings()
+    assert sent.filter("event_time is null and sent_at is null").count() == 1
+    assert all_queries()["schema_evolution"](spark, str(tmp_path)).agg(F.sum("n_readings")).first()[0] == sent.count()
