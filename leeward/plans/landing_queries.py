@@ -16,23 +16,30 @@ FILES = 3
 EVERY = 97          # of so many lines, one is damaged
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with the delivery they land in. Each task deals its own, so no task takes a whole delivery."""
+    return rows.withColumn("delivery", F.monotonically_increasing_id() % FILES)
+
+
 def landed(t: Tables, rows: DataFrame, number: str, damaged: str, sep: str = ",") -> str:
-    """``rows`` as delimited files; where ``number`` is divisible by ``EVERY``, the value of ``damaged`` is no number."""
+    """``rows`` as deliveries of delimited text, in as many parts as there are tasks; where ``number`` is divisible by ``EVERY``, the value of ``damaged`` is no number."""
     path = fresh_path(t.spark, "landed")
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
     text = text.withColumn(damaged, F.when(F.col(number).cast("long") % EVERY == 0, "n/a").otherwise(F.col(damaged)))
-    text.drop(*[c for c in (number,) if c.startswith("k_")]).repartition(FILES).write.option("header", True).option("sep", sep).csv(path)
-    return path
+    text = text.drop(*[c for c in (number,) if c.startswith("k_")])
+    dealt(text).write.partitionBy("delivery").option("header", True).option("sep", sep).csv(path)
+    return f"{path}/delivery=*"
 
 
 def told(parts: tuple[DataFrame, DataFrame], value: str) -> DataFrame:
-    """Lines read, lines rejected, files they came from, and a sum over what was read."""
+    """Lines read, lines rejected, deliveries they came from, and a sum over what was read."""
     rows, rejects = parts
-    good = rows.select(F.lit(0).alias("bad"), "source_file", F.col(value).cast("double").alias("value"))
-    bad = rejects.select(F.lit(1).alias("bad"), "source_file", F.lit(None).cast("double").alias("value"))
+    source = F.regexp_extract("source_file", "delivery=[0-9]+", 0).alias("source")
+    good = rows.select(F.lit(0).alias("bad"), source, F.col(value).cast("double").alias("value"))
+    bad = rejects.select(F.lit(1).alias("bad"), source, F.lit(None).cast("double").alias("value"))
     return good.unionByName(bad).agg(
         F.count_if(F.col("bad") == 0).alias("n_rows"), F.count_if(F.col("bad") == 1).alias("n_rejects"),
-        F.count_distinct("source_file").alias("n_files"), quantize(F.sum("value"), 3).alias("total"))
+        F.count_distinct("source").alias("n_files"), quantize(F.sum("value"), 3).alias("total"))
 
 
 def told_sql(view: str, number: str, value: str) -> str:
@@ -81,8 +88,8 @@ def landed_device_feed(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "landed")
     line = F.to_json(F.struct("device_id", "seq", "op", "firmware", "jurisdiction_code"))
     lines = t.device_cdc().select(F.when(F.col("seq") % EVERY == 0, F.substring(line, 1, 30)).otherwise(line).alias("value"))
-    lines.repartition(FILES).write.text(path)
-    return told(files.with_rejects(t.spark, path, schemas.DEVICE_CHANGE, None), "seq")
+    dealt(lines).write.partitionBy("delivery").text(path)
+    return told(files.with_rejects(t.spark, f"{path}/delivery=*", schemas.DEVICE_CHANGE, None), "seq")
 
 
 @query(with_views("v_readings", """select ingestion_path, count(*) as n_readings, count(detector_temp_c) as n_with_temp from (
