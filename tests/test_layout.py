@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from leeward.operators import scenarios as space
-from leeward.plans import landing_queries as landing
+from leeward.operators import dispersion, gold, scenarios as space
+from leeward.plans import batch, exposure_queries as exposure
+from leeward.plans import model_band, landing_queries as landing  # noqa: F401 (model_band enters v_band)
 from leeward.sources.fixtures import Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,3 +36,25 @@ def test_drawn_episodes_are_unfolded_in_many_tasks(spark):
     tree = plan.splitlines()
     unfolded, dealt = (next(i for i, line in enumerate(tree) if word in line) for word in ("hour_in_episode", "RepartitionByExpression"))
     assert unfolded < dealt
+
+
+def test_scenarios_of_a_receptor_never_become_rows(spark):
+    """Sums, arrivals and sectors of the block layout are those of the rows per receptor and scenario, all around the site and next to it."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    c = exposure.clim(t)
+    at = spark.createDataFrame([(s, 10 * k + s, float(r * math.sin(math.radians(a))), float(r * math.cos(math.radians(a)))) for s in range(4)
+                                for k, (r, a) in enumerate([(50, 10), (101, 0), (3000, 0), (9000, 90), (20000, 359.9), (60000, 181), (140000, 270)])],
+                               "site_no long, receptor_id long, x_m double, y_m double")
+    found = batch.figures(c, at, with_timing=True)
+    assert "variant_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    deps = dispersion.scenario_rows(batch.scenario_deposits(c, at, True), c.physics)
+    want = {(r.receptor_id, r.nuclide): r for r in deps.groupBy("receptor_id", "nuclide").agg(
+        F.sum("dep").alias("total"), F.max("dep").alias("largest"), F.count_if(F.col("dep") > 0.001).alias("n_above"), F.count("arrival_h").alias("n_arrivals"),
+        F.min("arrival_h").alias("first_h"), F.percentile("arrival_h", F.lit(0.5)).alias("arrival_h_p50"), gold.worst_sector_of(c.physics).alias("worst")).collect()}
+    got = {(r.receptor_id, r.nuclide): r for r in found.withColumn("worst", gold.worst_of_sectors(F.col("by_sector"), c.physics)).collect()}
+    assert got.keys() == want.keys() and len(got) > 40
+    for key, w in want.items():
+        g = got[key]
+        assert (g.n_above, g.n_arrivals, g.first_h, g.arrival_h_p50, g.worst) == (w.n_above, w.n_arrivals, w.first_h, w.arrival_h_p50, w.worst)
+        assert g.total == pytest.approx(w.total, rel=1e-9) and g.largest == pytest.approx(w.largest, rel=1e-9)
+        assert sum(g.by_sector) == pytest.approx(w.total, rel=1e-9)
