@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -58,3 +59,15 @@ def test_scenarios_of_a_receptor_never_become_rows(spark):
         assert (g.n_above, g.n_arrivals, g.first_h, g.arrival_h_p50, g.worst) == (w.n_above, w.n_arrivals, w.first_h, w.arrival_h_p50, w.worst)
         assert g.total == pytest.approx(w.total, rel=1e-9) and g.largest == pytest.approx(w.largest, rel=1e-9)
         assert sum(g.by_sector) == pytest.approx(w.total, rel=1e-9)
+
+
+def test_hours_of_one_episode_come_to_the_receptors(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    c = exposure.clim(t)
+    single = replace(c, hours=c.hours.filter("episode_id = 0"))
+    at = exposure.cells(t)
+    found = gold.risk_map_hourly(batch.deposits(single, at, few_hours=True), c.run.n_variants)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "nuclide" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    want = gold.risk_map_hourly(batch.deposits(single, at), c.run.n_variants)
+    assert found.count() == want.count() and found.exceptAll(want).count() == 0
