@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from leeward.functions.numeric import quantize
@@ -26,11 +28,23 @@ MODELLED = model_band.first_episode_sql(SITES_TIMES_CELLS, "0, 1, 2, 3") | {
         left join v_grid g on g.cell_id = m.cell_id left join bands b on b.site_no = m.site_no and b.receptor_id = m.cell_id"""}
 
 
+#: Measurements of one task.
+SAMPLES_PER_TASK = 500_000
+
+
+def tasks_for(n_samples: int, n_cells: int, at_least: int) -> int:
+    """Tasks by (site, cell), so many that what one of them sorts does not grow with the tables."""
+    return max(at_least, math.ceil(n_samples / SAMPLES_PER_TASK), math.ceil(n_cells / model_band.PHYSICS.receptors_per_task))
+
+
 def observed(t: Tables) -> DataFrame:
-    """Measurements in the cells of their site's grid, with the model's band of the first episode."""
-    found = validation.obs_to_cells(t.measurements(), t.sites(), t.grid_side().scalar())
-    frame = cells(t)
-    deposits = model_band.first_episode(t, frame, [0, 1, 2, 3])
+    """Measurements in the cells of their site's grid, with the model's band of the first episode. Both sides lie by (site, cell) in
+    equally many tasks, so neither the band nor the join shuffles again."""
+    sites = [0, 1, 2, 3]
+    tasks = tasks_for(t.read("lineitem").count(), len(sites) * t.read("part").count(), t.spark.sparkContext.defaultParallelism * 3)
+    found = validation.obs_to_cells(t.measurements(), t.sites(), t.grid_side().scalar()).repartition(tasks, "site_no", "cell_id")
+    frame = cells(t).repartition(tasks, "site_no", "receptor_id")
+    deposits = model_band.first_episode(t, frame, sites, tasks)
     band = frame.select("site_no", "receptor_id", "x_m", "y_m").join(
         dose.deposition_band(deposits, "dep0", model_band.RUN.n_variants), ["site_no", "receptor_id"], "left")
     band = band.select("site_no", F.col("receptor_id").alias("cell_id"), "x_m", "y_m",
