@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from support import rows
@@ -177,3 +178,64 @@ def test_reading_without_any_time_lands_in_the_growing_table(spark, tmp_path):
     sent = Tables(spark, str(tmp_path)).readings()
     assert sent.filter("event_time is null and sent_at is null").count() == 1
     assert all_queries()["schema_evolution"](spark, str(tmp_path)).agg(F.sum("n_readings")).first()[0] == sent.count()
+
+
+def test_waiting_outcomes_take_few_rows_of_state():
+    """A batch of a device was a row of state per outcome, each a round trip; it is one per ``PACK`` of them, in order and without loss."""
+    n = 250
+    times, ways = [(i * 7) % 50 for i in range(n)], ["wifi" if i % 3 else "lte" for i in range(n)]
+    bad = [i % 2 == 0 for i in range(n)]
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.writes = [], 0
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.writes = list(rows), self.writes + len(rows)
+
+        def appendList(self, rows):
+            self.rows, self.writes = self.rows + list(rows), self.writes + len(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Single(Kept):
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        def registerTimer(self, ms):
+            self.asked = ms
+
+    processor = health.Health(3, 5)
+    processor.waiting, processor.state, processor.handle = Kept(), Single(), Clock(0)
+    frames = [pd.DataFrame({"at_s": times[i::2], "ingestion_path": ways[i::2], "bad": bad[i::2]}) for i in range(2)]
+    frames = [f.assign(at_s=f["at_s"] + 1) for f in frames]
+    assert not list(processor.handleInputRows(("d",), iter(frames), Clock(0)))
+    assert processor.waiting.writes <= 2 and processor.handle.asked == 1000
+    expected = ("healthy", None, None, 0, None)
+    series = sorted(zip([t + 1 for t in times], ways, bad))
+    for watermark in (20_500, 60_000):
+        told = list(processor.handleExpiredTimer(("d",), Clock(watermark), None))
+        ripe, series = [r for r in series if r[0] * 1000 <= watermark], [r for r in series if r[0] * 1000 > watermark]
+        for at_s, _, is_bad in ripe:
+            expected = health.step(expected, at_s, is_bad, 3, 5)
+        assert processor.state.value == expected and len(told) == 1
+    assert not processor.waiting.rows
