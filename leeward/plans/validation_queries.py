@@ -30,6 +30,8 @@ MODELLED = model_band.first_episode_sql(SITES_TIMES_CELLS, "0, 1, 2, 3") | {
 
 #: Measurements of one task.
 SAMPLES_PER_TASK = 500_000
+#: Numbers that stand in for the cell of measurements off the grid.
+OFF_GRID_PLACES = 1 << 20
 
 
 def tasks_for(n_samples: int, n_cells: int, at_least: int) -> int:
@@ -38,18 +40,24 @@ def tasks_for(n_samples: int, n_cells: int, at_least: int) -> int:
 
 
 def observed(t: Tables) -> DataFrame:
-    """Measurements in the cells of their site's grid, with the model's band of the first episode. Both sides lie by (site, cell) in
-    equally many tasks, so neither the band nor the join shuffles again."""
+    """Measurements in the cells of their site's grid, with the model's band of the first episode. Both sides lie by cell in equally
+    many tasks, so neither the band nor the join shuffles again; measurements pass by a task's cells unsorted. Those off the grid
+    meet no cell and are dealt out by their place, below zero."""
     sites = [0, 1, 2, 3]
     tasks = tasks_for(t.read("lineitem").count(), len(sites) * t.read("part").count(), t.spark.sparkContext.defaultParallelism * 3)
-    found = validation.obs_to_cells(t.measurements(), t.sites(), t.grid_side().scalar()).repartition(tasks, "site_no", "cell_id")
-    frame = cells(t).repartition(tasks, "site_no", "receptor_id")
-    deposits = model_band.first_episode(t, frame, sites, tasks)
-    band = frame.select("site_no", "receptor_id", "x_m", "y_m").join(
-        dose.deposition_band(deposits, "dep0", model_band.RUN.n_variants), ["site_no", "receptor_id"], "left")
-    band = band.select("site_no", F.col("receptor_id").alias("cell_id"), "x_m", "y_m",
-                       *[quantize(F.coalesce(c, F.lit(0.0)), 3).alias(c) for c in LEVELS])
-    return found.join(band, ["site_no", "cell_id"], "left").withColumnRenamed("median", "pred")
+    found = validation.obs_to_cells(t.measurements(), t.sites(), t.grid_side().scalar())
+    off_grid = F.lit(-1) - F.pmod(F.xxhash64("lat", "lon"), F.lit(OFF_GRID_PLACES))
+    found = found.withColumn("cell_id", F.coalesce("cell_id", off_grid)).repartition(tasks, "cell_id")
+    deposits = model_band.first_episode(t, cells(t, tasks), sites, laid_out=True)
+    band = dose.deposition_band(deposits, "dep0", model_band.RUN.n_variants)
+    # A row per cell with a value per site: joined by the one key that the cells lie by, else Spark lays both sides out anew.
+    by_site = {c: F.array(*[F.max(F.when(F.col("site_no") == n, F.col(c))) for n in sites]) for c in LEVELS}
+    band = band.groupBy(F.col("receptor_id").alias("cell_id")).agg(*[a.alias(c) for c, a in by_site.items()])
+    grid = t.grid(tasks).select("cell_id", "x_m", "y_m", F.lit(True).alias("known")).join(band.hint("shuffle_hash"), "cell_id", "left")
+    met = found.join(grid.hint("shuffle_hash"), "cell_id", "left")
+    own = {c: F.when(F.col("known"), quantize(F.coalesce(F.col(c)[F.col("site_no").cast("int")], F.lit(0.0)), 3)) for c in LEVELS}
+    met = met.withColumns(own | {"cell_id": F.when(F.col("cell_id") >= 0, F.col("cell_id"))})
+    return met.withColumnRenamed("median", "pred").drop("known")
 
 
 @query(with_views("v_meteo v_measurements v_grid v_sites", f"""select site_no, count(*) as n_samples, count(cell_id) as n_on_grid, count(*) filter (pred > 0) as n_reached,
