@@ -103,6 +103,14 @@ def test_leaks(spark):
     assert decontaminate.remove(table, bench.where(F.lit(False))).count() == len(docs)
 
 
+def test_one_block_of_seeds_is_broadcast_at_a_time_and_each_item_once(spark):
+    items = spark.range(30).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(0, 39), k -> concat('b', id, 'w', k))) as text")
+    docs = items.selectExpr("item_id + 100 as doc_id", "concat('before ', text, ' after') as text")
+    found = decontaminate.overlaps(docs, items, block=400)
+    assert {(r.id, r.item, r.matched) for r in found.collect()} == {(100 + k, k, 13) for k in range(30)}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leaks_of_short_items(spark):
     """Every way to replace words of an item of 5 to 13 words that its rule allows, one more word, and one fewer kept."""
     from itertools import combinations
